@@ -54,6 +54,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches, rows: int = 500):
+    """The batches in smaller pieces, so that what a task holds at once stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching spans made one."""
     out: list[list[int]] = []

@@ -34,13 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, merge_spans, runs_of, texts_of
+from .common import Shelf, merge_spans, runs_of, slices, texts_of
 
 LENGTH = 400
 K = 32
 HOT = 20_000
 HOT_ROUNDS = 3
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_000_000
 PIECE = 1 << 21
 M1, M2, M3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 TOP = np.uint64(1 << 63)
@@ -219,7 +219,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     def pack(batches):
         seen: set[tuple[int, int]] = set()
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t, k in zip(texts_of(b), zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True):
                 if len(t) >= length and k not in seen:
@@ -232,7 +232,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
     def named(demoted: np.ndarray):
         def run(batches):
-            for b in batches:
+            for b in slices(batches):
                 cols = [[], [], [], [], [], []]
                 for z, t1, t2 in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     name, a, e, twice = segments(zstandard.decompress(z), length, demoted)
@@ -257,7 +257,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
     def cut(batches):
         seen: dict[int, set[int]] = {}
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for z, t1, t2, found in zip(*[b.column(i).to_pylist() for i in (2, 0, 1, 3)], strict=True):
                 text = zstandard.decompress(z)
@@ -273,7 +273,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["name", "d", "x", "t1", "t2", "a", "e", "part"])
 
     rows = shelf.put(packed.join(listed, ["t1", "t2"]).select("t1", "t2", "z", "runs").mapInArrow(cut, "name long, d long, x long, t1 long, t2 long, a long, e long, part binary"))
-    stands = rows.groupBy("d").agg((F.min("x") != F.max("x")).alias("many"))
+    stands = shelf.put(rows.groupBy("d").agg((F.min("x") != F.max("x")).alias("many")))
     dealt = rows.where("part is not null").select("name", "d", "part").join(stands, "d")
 
     def sort(batches):
@@ -288,7 +288,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                 [pa.array([keys[i] for i in keep], pa.int64()), pa.array([[{"a": int(a), "b": int(b)} for a, b in spans[i]] for i in keep], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["d", "spans"]
             )
 
-        for b in batches:
+        for b in slices(batches):
             for name, d, part, many in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
                 if name != last:
                     held |= group
@@ -314,7 +314,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     both = keyed.join(spans, ["t1", "t2"], "left")
 
     def drop(batches):
-        for b in batches:
+        for b in slices(batches):
             cols: list[list] = [[] for _ in range(4)]
             for t, found, copied in zip(texts_of(b), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 spans = [(0, len(t))] if copied and len(t) >= length else merge_spans([(s["a"], s["b"]) for s in found or []])
