@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import merge_spans, texts_of
+from .common import Shelf, merge_spans, texts_of
 
 NEAR = 32
 MAX_CHUNK = 1024
@@ -121,7 +121,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     chunks = keyed.mapInArrow(cut, f"doc_id {kind}, h long, at int, d long, inner boolean")
     # more than one document, or twice in one
     known = chunks.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("inner").alias("twice")).where("twice OR first <> last")
-    found = chunks.join(known.select("d", "first"), "d")
+    # as a table of its own, so that the join has plain shuffles on both sides and a skewed digest can be split
+    found = chunks.join(Shelf(docs.sparkSession, "chunks").put(known.select("d", "first")), "d")
     later = (F.col("inner") | ~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later")
     listed = found.select("doc_id", "h", "at", later).groupBy("doc_id", "h").agg(F.collect_set(F.when(F.col("later"), F.col("at"))).alias("again"), F.collect_set("at").alias("repeated"))
     listed = listed.withColumnsRenamed({"doc_id": "doc_id2", "h": "h2"})
