@@ -38,8 +38,10 @@ from .common import Shelf, merge_spans, runs_of, slices, texts_of
 
 LENGTH = 400
 K = 32
-HOT = 20_000
+HOT = 5_000
 HOT_ROUNDS = 3
+MAX_DEMOTED = 16_000_000  # names sent to all tasks in a round, 8 bytes each
+SORT_PIECE = 50_000
 BATCH_BYTES = 1_000_000
 PIECE = 1 << 21
 M1, M2, M3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -126,10 +128,16 @@ def suffix_array(data: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
     at = np.where(sign != 0, np.arange(n), n - 1)
     small = sign[np.minimum.accumulate(at[::-1])[::-1]] > 0
     direct = np.flatnonzero(wanted & small)
-    text = data.decode("latin-1")
-    keys = [text[i : i + depth] for i in direct.tolist()]
-    direct = direct[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys
+    text, lead = data.decode("latin-1"), words_of(x)
+    direct = direct[np.argsort(lead[direct], kind="stable")]
+    new, pieces, a = np.flatnonzero(np.diff(lead[direct])) + 1, [], 0
+    while a < len(direct):  # pieces that no 8 leading bytes straddle bound the keys held at once
+        at = np.searchsorted(new, a + SORT_PIECE)
+        b = int(new[at]) if at < len(new) else len(direct)
+        keys = [text[i : i + depth] for i in direct[a:b].tolist()]
+        pieces.append(direct[a:b][sorted(range(b - a), key=keys.__getitem__)])
+        a = b
+    direct = np.concatenate(pieces) if pieces else direct
     waiting = wanted & ~small
     count = np.bincount(x[wanted], minlength=256)
     head = np.concatenate(([0], np.cumsum(count)))
@@ -244,14 +252,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
         return packed.mapInArrow(run, "name long, t1 long, t2 long, a long, e long, twice long")
 
     demoted = np.zeros(0, np.uint64)
-    for _ in range(HOT_ROUNDS):
+    for step in range(HOT_ROUNDS):
         place = F.xxhash64("t1", "t2", "a")
-        runs = named(demoted)
+        runs = shelf.put(named(demoted))
+        hot = max(hot, runs.count() // MAX_DEMOTED)
         twice = shelf.put(runs.groupBy("name").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n"), F.max("twice").alias("twice")).where("lo <> hi OR twice = 1").select("name", "n"))
-        # at most rows / hot names
+        # MAX_DEMOTED names at most
         more = [r.name for r in twice.where((F.col("n") > hot) & (F.col("name") >= 0)).select("name").collect()]
-        if not more:
+        if not more or step == HOT_ROUNDS - 1:
             break
+        shelf.drop(runs)
         demoted = np.unique(np.concatenate([demoted, np.array(more, np.int64).view(np.uint64)]))
     listed = runs.join(twice.select("name"), "name").groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "e", "name")).alias("runs"))
 
