@@ -218,18 +218,42 @@ def links(distinct: DataFrame, shelf: Shelf) -> DataFrame:
     return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
-    spark = docs.sparkSession
-    shelf = Shelf(spark, "simhash")
-    rows = shelf.put(fingerprints(docs))
+def classes(rows: DataFrame, shelf: Shelf) -> DataFrame:
+    """rows(doc_id, fp) to (fp, root, component_id) of every fingerprint, as a written table.
+
+    root is the component's smallest fingerprint, component_id its smallest doc_id.
+    """
     distinct = shelf.put(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(distinct, shelf), shelf)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = shelf.put(rooted)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return shelf.put(rooted.join(least, "root").select("fp", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id for every row."""
+    shelf = Shelf(docs.sparkSession, "simhash")
+    rows = shelf.put(fingerprints(docs))
+    return rows.join(classes(rows, shelf), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, the one with the smallest doc_id; columns as in docs."""
+    shelf, cols = Shelf(docs.sparkSession, "simhash"), docs.columns
+    plain = docs.withColumn("_row", F.monotonically_increasing_id())
+    at = plain.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in texts_of(b.select([at]))], np.uint64).view(np.int64)
+            yield b.append_column("_fp", pa.array(fp))
+
+    marked = shelf.put(plain.mapInArrow(run, plain.withColumn("_fp", F.lit(0).cast("long")).schema))
+    rows = marked.select("_row", "doc_id", F.col("_fp").alias("fp"))
+    found = rows.join(classes(rows, shelf), "fp")
+    kept = shelf.put(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row")).select("_row"))
+    return marked.join(kept, "_row").select(*cols)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
