@@ -61,6 +61,16 @@ def slices(batches, rows: int = 500):
             yield b.slice(i, rows)
 
 
+_HELD: dict = {}
+
+
+def held(make, *key):
+    """make(*key), made once in a Python worker and kept for its later tasks."""
+    if (make, key) not in _HELD:
+        _HELD[make, key] = make(*key)
+    return _HELD[make, key]
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching spans made one."""
     out: list[list[int]] = []

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices
+from .common import held, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     kinds = [pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
     def run(batches):
-        machine = Transducer(path)
+        machine = held(Transducer, path)
         gc.disable()  # nothing here makes cycles, and the tables are large
         low, high = min(machine.byte.values()), max(machine.byte.values())
         for b in slices(batches):
