@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, slices
+from .common import Shelf, held, slices
 
 END = 0
 BLOCK = 4096
 SEGMENT_IDS = 1 << 20
-CACHE = 400_000
+CACHE = 250_000
 HEAD = struct.Struct("<4sB3xQQQ")
 
 
@@ -181,7 +181,7 @@ def write(docs: DataFrame, path: str, shelf: Shelf) -> DataFrame:
 
     def run(batches):
         gc.disable()  # nothing here makes cycles, and the table of pieces is large
-        encode, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, before = held(Encoder, path), TaskContext.get().partitionId(), 0
         width = width_of(max(encode.vocab, END + 1))
         ids, ends, doc_ids, size = [], [], [], 0
         end, field = np.array([END], "<u4").tobytes(), None
@@ -212,9 +212,9 @@ def read(table: DataFrame) -> DataFrame:
     spark = table.sparkSession
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
     # one number for each partition of the writer is all that is gathered
-    held = table.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    sizes = table.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     starts, total = [], 0
-    for r in held:
+    for r in sizes:
         starts.append((r.part, total))
         total += r.n
     base = F.broadcast(spark.createDataFrame(starts, "part int, base long"))
