@@ -1,6 +1,6 @@
 """Operator 9, token ids in bit-packed files.
 
-Documents are put in ascending doc_id order (nulls first; ties by text), encoded
+Documents are put in ascending doc_id order (nulls first; ties as they come in the table), encoded
 with the tokenizers library, END appended to each, and written as segments of at
 most about SEGMENT_IDS ids. A segment is self-contained:
 
@@ -35,7 +35,9 @@ from .common import Shelf, held, slices
 END = 0
 BLOCK = 4096
 SEGMENT_IDS = 1 << 20
-CACHE = 250_000
+CACHE, SEEN = 600_000, 1 << 23
+#: Marks that a word may end in: none of them starts a contraction, so a run of them is a part of its own.
+MARKS = ".,!?:;*$%&#|"
 HEAD = struct.Struct("<4sB3xQQQ")
 
 
@@ -102,6 +104,16 @@ SPACES = [c for c in map(chr, [9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680
 ASCII_SPACES = SPACES[:8]
 
 
+class _Pieces(dict):
+    """Ids by piece; one that is not there is learnt."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.learn(unit)
+
+
 class Encoder:
     """Encodes texts; what stands between white space is encoded once.
 
@@ -121,9 +133,10 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.line = self._raw(["\n"])[0]
-        self.marks = dict(zip(".,!?:;", self._raw(list(".,!?:;")), strict=True))
-        self.known: dict[str, bytes] = {}  # pieces with a blank before them, without the blank
-        self.first: dict[str, bytes] = {}  # pieces at the start of a line
+        self.marks: dict[str, bytes] = {"": b""}
+        # pieces without the blank before them; those at the start of a line with the line end
+        self.known = _Pieces(self._learn)
+        self.seen = bytearray(SEEN)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -131,43 +144,38 @@ class Encoder:
     def _word(self, word: str, blank: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(blank + word if word.isascii() else blank + word.encode().decode("latin-1").translate(LETTERS))]).tobytes()
 
-    def _learn(self, units: set[str], known: dict[str, bytes], blank: str, text_blank: str) -> None:
-        others = []
-        for u in units:
-            if u.isalpha():
-                known[u] = self._word(u, blank)
-            elif u[-1:] in self.marks and u[:-1].isalpha():
-                stem = known.get(u[:-1])
-                if stem is None:
-                    stem = known[u[:-1]] = self._word(u[:-1], blank)
-                known[u] = stem + self.marks[u[-1]]
-            else:
-                others.append(u)
-        if others:
-            known.update(zip(others, self._raw([text_blank + u for u in others]), strict=True))
+    def _learn(self, unit: str) -> bytes:
+        """The ids of a piece, which is kept from its second time on."""
+        word, blank, got = (unit, LETTERS[32], b"") if unit[:1] != "\n" else (unit[1:], "", self.line)
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():
+            mark = word[len(stem) :]
+            if mark not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {"": b""}
+                self.marks[mark] = self._raw([mark])[0]
+            ids = self.known.get(stem) if mark and blank else None
+            got += (ids or self._word(stem, blank)) + self.marks[mark]
+        else:
+            got += self._raw([" " + word if blank else word])[0]
+        at = hash(unit) % SEEN
+        if self.seen[at]:
+            self.known[unit] = got
+        else:
+            self.seen[at] = 1
+        return got
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for table in (self.known, self.first):
-            if len(table) > CACHE:
-                table.clear()
-        known, first = self.known, self.first
-        parts, whole, new, new_first = [], [], set(), set()
-        for i, t in enumerate(texts):
+        if len(self.known) > CACHE:
+            self.known, self.seen = _Pieces(self._learn), bytearray(SEEN)
+        get, skip, out = self.known.__getitem__, len(self.line), []
+        for t in texts:
             if not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or any(c in t for c in (ASCII_SPACES if t.isascii() else SPACES)):
-                whole.append(i)
-                parts.append(None)
+                out += self._raw([t])
                 continue
-            lines = [line.split(" ") for line in t.split("\n")]
-            parts.append(lines)
-            for line in lines:
-                new_first.add(line[0])
-                new.update(line[1:])
-        self._learn(new.difference(known), known, LETTERS[32], " ")
-        self._learn(new_first.difference(first), first, "", "")
-        out = [self.line.join([first[p[0]] + b"".join([known[u] for u in p[1:]]) for p in lines]) if lines is not None else b"" for lines in parts]
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = ids
+            units = ("\n" + t.replace("\n", " \n")).split(" ")
+            out.append(b"".join(map(get, units))[skip:])
         return out
 
 
@@ -175,8 +183,8 @@ def write(docs: DataFrame, path: str, shelf: Shelf) -> DataFrame:
     """Writes the packed segments and returns their table: part, first, doc_ids, data."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["doc_id", "_h", "_m"]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"_h": F.xxhash64("text"), "_m": F.monotonically_increasing_id()})
+    order = ["doc_id", "_m"]  # splits a doc_id of very many rows too
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_m", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
