@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import slices, texts_of
 
 WINDOW, STRIDE = 48, 36
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
@@ -35,7 +35,7 @@ MAX_FIT = {0: 4500, 1: 1500}
 MAX_FIT_CHARS = 12_000
 EPOCHS, MIN_STEPS, BATCH, BAG, RATE, DECAY = 5, 360, 64, 5, 0.01, 0.02
 BLOCK = 1024  # windows scored at once
-CACHE = 400_000
+CACHE = 150_000
 f32 = np.float32
 
 
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             yield b.append_column("score", pa.array(scorer(texts_of(b)), pa.float64()))
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)

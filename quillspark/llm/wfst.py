@@ -38,7 +38,7 @@ from .common import held, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE, PAIRS = 400_000, 1_500_000
+CACHE, SEEN, PAIRS = 250_000, 1 << 23, 400_000
 INFINITY = float("inf")
 
 
@@ -104,6 +104,7 @@ class Transducer:
         self.out = [b"" if k in (UNKNOWN, CONTROL) else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
         self.borders: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN)
 
     def normalise(self, text: str) -> str:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
@@ -174,13 +175,17 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         if len(self.paths) > CACHE:
             self.paths.clear()
+            self.seen = bytearray(SEEN)
         paths, out = self.paths, []
         for unit in UNIT.findall(self.normalise(text)):
             got = paths.get(unit)
             if got is None:
                 got = np.array(self.shortest(unit), "<u4").tobytes()
-                if len(unit) <= 64:
+                at = hash(unit) % SEEN
+                if self.seen[at] and len(unit) <= 64:  # kept from its second time on
                     paths[unit] = got
+                else:
+                    self.seen[at] = 1
             out.append(got)
         return np.frombuffer(b"".join(out), "<u4")
 
