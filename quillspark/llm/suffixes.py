@@ -230,26 +230,31 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
         for b in slices(batches):
             out = []
             for t, k in zip(texts_of(b), zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True):
-                if len(t) >= length and k not in seen:
+                if k not in seen:
                     seen.add(k)
                     out.append((*k, squeeze.compress(t)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], y) for i, y in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["t1", "t2", "z"])
 
-    packed = keyed.where(F.octet_length("text") >= length).select("text", "t1", "t2").mapInArrow(pack, "t1 long, t2 long, z binary")
+    long_ones = keyed.where(F.octet_length("text") >= length).select("text", "t1", "t2")
+    packed = long_ones.mapInArrow(pack, "t1 long, t2 long, z binary")
     counted = keyed.groupBy("t1", "t2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
 
     def named(demoted: np.ndarray):
         def run(batches):
+            seen: set[tuple[int, int]] = set()
             for b in slices(batches):
                 cols = [[], [], [], [], [], []]
-                for z, t1, t2 in zip(b.column(2).to_pylist(), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    name, a, e, twice = segments(zstandard.decompress(z), length, demoted)
-                    for c, v in zip(cols, (name.view(np.int64), np.full(len(name), t1), np.full(len(name), t2), a, e, twice.astype(np.int64)), strict=True):
+                for text, k in zip(texts_of(b), zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True):
+                    if k in seen:
+                        continue
+                    seen.add(k)
+                    name, a, e, twice = segments(text, length, demoted)
+                    for c, v in zip(cols, (name.view(np.int64), np.full(len(name), k[0]), np.full(len(name), k[1]), a, e, twice.astype(np.int64)), strict=True):
                         c.append(v)
                 arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["name", "t1", "t2", "a", "e", "twice"])
 
-        return packed.mapInArrow(run, "name long, t1 long, t2 long, a long, e long, twice long")
+        return long_ones.mapInArrow(run, "name long, t1 long, t2 long, a long, e long, twice long")
 
     demoted = np.zeros(0, np.uint64)
     for step in range(HOT_ROUNDS):
