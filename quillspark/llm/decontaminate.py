@@ -209,29 +209,44 @@ def _blocks(benchmark: DataFrame):
     yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows and columns of docs and ``_n_words``, ``_spans`` (of hit words, end exclusive), ``_items``."""
-    spark = docs.sparkSession
+def scan(docs: DataFrame, benchmark: DataFrame, removing: bool = False) -> DataFrame:
+    """The rows and columns of docs and ``_n_words``, ``_spans`` (of hit words, end exclusive), ``_items``.
+
+    With ``removing``, the columns of docs alone, the spans cut out of ``text``.
+    """
+    spark, at = docs.sparkSession, docs.columns.index("text")
     empty = F.array().cast("array<struct<a:long,b:long>>")
     out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": empty, "_items": F.array().cast("array<string>")})
     schema = out.schema
-    for block in _blocks(benchmark):
+    blocks = _blocks(benchmark)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
         phrases = spark.sparkContext.broadcast(block)
 
-        def run(batches, phrases=phrases):
+        def run(batches, phrases=phrases, cutting=removing and after is None):
             find = Phrases(phrases.value)
             for b in shards(batches):
-                words = [words_of(t) for t in texts_of(b)]
+                texts = texts_of(b)
+                words = [words_of(t) for t in texts]
                 old = zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)
                 spans, items = [], []
                 for (hit, got), (spans0, items0) in zip(find.scan(words), old, strict=True):
                     new = [(s["a"], s["b"]) for s in spans0] + [tuple(s) for s in runs_of(hit).tolist()]
-                    spans.append([{"a": x, "b": y} for x, y in merge_spans(new)])
+                    spans.append(merge_spans(new))
                     items.append(sorted(got | set(items0)))
-                cols = [*b.columns[:-3], pa.array([len(w) for w in words], pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, b.schema.names)
-
-        out = out.mapInArrow(run, schema)
+                if cutting:
+                    left = b.column(at).to_pylist()
+                    for i, s in enumerate(spans):
+                        if s:
+                            left[i] = cut(texts[i], s).decode()
+                    yield pa.RecordBatch.from_arrays([pa.array(left, c.type) if i == at else c for i, c in enumerate(b.columns[:-3])], b.schema.names[:-3])
+                    continue
+                pairs = pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array([len(w) for w in words], pa.int64()), pairs, pa.array(items, pa.list_(pa.string()))], b.schema.names)
+
+        out = out.mapInArrow(run, docs.schema if removing and after is None else schema)
+        block = after
     return out
 
 
@@ -247,17 +262,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows and columns of docs; benchmark passages are cut out of ``text``."""
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for b in slices(batches):
-            texts = b.column(at).to_pylist()
-            for i, s in enumerate(b.column(b.num_columns - 2).to_pylist()):
-                if s:
-                    texts[i] = cut(texts[i].encode(), [(x["a"], x["b"]) for x in s]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns[:-3])], b.schema.names[:-3])
-
-    return scan(docs, benchmark).mapInArrow(run, docs.schema)
+    return scan(docs, benchmark, removing=True)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

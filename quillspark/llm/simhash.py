@@ -253,7 +253,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = marked.select("_row", "doc_id", F.col("_fp").alias("fp"))
     found = rows.join(classes(rows, shelf), "fp")
     kept = shelf.put(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row")).select("_row"))
-    return marked.join(kept, "_row").select(*cols)
+    # a merge join at every size: the list grows with the rows, and a switch to a broadcast would only hide the shuffle
+    return marked.join(kept.hint("merge"), "_row").select(*cols)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
