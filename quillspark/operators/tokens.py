@@ -107,11 +107,11 @@ class TokenizeBPE(Step):
         for n in names:
             word = F.explode(F.filter(F.split(col(n), r"\s+"), lambda w: w != "")).alias("w")
             counts = {subword.MARK + r.w: r.n for r in df.select(word).groupBy("w").agg(F.count("*").alias("n")).collect()}
-            letters = {c for w in counts for c in w} - {subword.MARK}
+            letters = {c for w in counts for c in w}  # with the mark, which stands for the blank
             if self.vocabulary_size < len(letters):
                 raise ValueError(f"vocabulary_size of {self.vocabulary_size} is too small for column {n}; it has {len(letters)} characters")
             merges[n] = subword.train_bpe(counts, self.vocabulary_size)
-            vocab[n] = sorted(letters | {subword.MARK} | {a + b for a, b in merges[n]})
+            vocab[n] = sorted(letters | {a + b for a, b in merges[n]})
         return {"merges": merges}, state.with_vocab(vocab)
 
     def apply(self, df, names, learnt):
@@ -151,7 +151,7 @@ class TokenizeSentencePiece(Step):
             else:
                 word = F.explode(F.filter(F.split(col(n), r"\s+"), lambda w: w != "")).alias("w")
                 rows = df.select(word).groupBy("w").agg(F.count("*").alias("n")).orderBy("w").collect()
-                letters = {c for r in rows for c in r.w}
+                letters = {c for r in rows for c in r.w} | {subword.MARK}
                 if self.vocabulary_size < len(letters):
                     raise ValueError(f"vocabulary_size of {self.vocabulary_size} is too small for column {n}; it has {len(letters)} characters")
                 out = io.BytesIO()
