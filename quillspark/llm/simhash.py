@@ -10,7 +10,8 @@ The variants are shuffled in a short form. They are bucketed by their leading
 bits, and instead of each variant its fingerprint goes to the bucket once (1 +
 b + b(b-1)/2 buckets of b bits), where the variants that belong there are
 written out, sorted and compared. A bucket that many fingerprints fall in, such
-as the near copies of one text, is divided by a linear hash of the other bits.
+as the near copies of one text, is divided by a linear hash of the other bits;
+a task takes some of its sub-buckets in turn, and the largest go to several tasks.
 
 Fingerprints are linked once for all documents that share them.
 
@@ -38,7 +39,8 @@ SEED = 42
 RADIUS = 4
 BALL = 2081  # variants of at most RADIUS // 2 flips of 64 bits
 VARIANTS_PER_BUCKET = 4_000_000
-MAX_BITS = 16
+MAX_BITS = 18
+PASSES = 6  # log2 of the sub-buckets that a task takes in turn
 FLUSH = 200_000
 PIECE = 200_000
 
@@ -97,55 +99,66 @@ def _linear(x: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _meet(fps: np.ndarray, prefix: int, bits: int, sub: int, sub_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the fingerprints that meet in this bucket, as a forest of stars."""
+def _split(x: np.ndarray, code: np.ndarray, sub_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """x in the order of its codes, and where each code begins."""
+    order = np.argsort(code, kind="stable")
+    return x[order], np.searchsorted(code[order], np.arange((1 << sub_bits) + 1))
+
+
+def _meet(fps: np.ndarray, prefix: int, bits: int, subs: range, sub_bits: int):
+    """For each of these sub-buckets, links of the fingerprints that meet in it, as a forest of stars."""
     fps = np.unique(fps)
     low = 64 - bits
     near = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(prefix)) if bits else np.zeros(len(fps), np.uint8)
     body = fps & np.uint64((1 << low) - 1)
-    variants, owners = [], []
+    sides = []
     for gone in range(RADIUS // 2 + 1):
         who = np.flatnonzero(near == gone)
-        if not len(who):
-            continue
         masks = _masks(low, RADIUS // 2 - gone)
-        if not sub_bits:
-            variants.append((body[who][:, None] ^ masks).ravel())
-            owners.append(np.repeat(who, len(masks)))
+        sides.append((*_split(who, _linear(body[who], sub_bits), sub_bits), *_split(masks, _linear(masks, sub_bits), sub_bits)))
+    for sub in subs:
+        variants, owners = [], []
+        for who, first, masks, begin in sides:
+            for t in np.flatnonzero(np.diff(first)).tolist():
+                w, m = who[first[t] : first[t + 1]], masks[begin[t ^ sub] : begin[(t ^ sub) + 1]]
+                if len(m):
+                    variants.append((body[w][:, None] ^ m).ravel())
+                    owners.append(np.repeat(w, len(m)))
+        if not variants:
+            continue
+        v, o = np.concatenate(variants), np.concatenate(owners).astype(np.int32)
+        order = np.argsort(v)
+        v, o = v[order], o[order]
+        same = np.flatnonzero(v[1:] == v[:-1])
+        if not len(same):
             continue
-        of, to = _linear(body[who], sub_bits), _linear(masks, sub_bits)
-        order = np.argsort(to, kind="stable")
-        first = np.searchsorted(to[order], np.arange((1 << sub_bits) + 1))
-        for t in np.unique(of):
-            w, m = who[of == t], masks[order[first[t ^ sub] : first[(t ^ sub) + 1]]]
-            variants.append((body[w][:, None] ^ m).ravel())
-            owners.append(np.repeat(w, len(m)))
-    if not variants:
-        return fps[:0], fps[:0]
-    v, o = np.concatenate(variants), np.concatenate(owners).astype(np.int32)
-    order = np.argsort(v)
-    v, o = v[order], o[order]
-    same = np.flatnonzero(v[1:] == v[:-1])
-    if not len(same):
-        return fps[:0], fps[:0]
-    # neighbours in a run of equal variants are linked: a chain joins the run
-    pairs = np.unique(np.minimum(o[same], o[same + 1]).astype(np.int64) << 32 | np.maximum(o[same], o[same + 1]))
-    a, b = pairs >> 32, pairs & 0xFFFFFFFF
-    ok = np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS
-    a, b = a[ok], b[ok]
-    root = np.arange(len(fps))
-    while True:  # smallest index reachable, by hooking and jumping
-        old = root.copy()
-        low_ab = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low_ab)
-        np.minimum.at(root, root[b], low_ab)
-        np.minimum.at(root, a, low_ab)
-        np.minimum.at(root, b, low_ab)
-        root = root[root]
-        if (root == old).all():
-            break
-    node = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[node], fps[root[node]]
+        # neighbours in a run of equal variants are linked: a chain joins the run
+        pairs = np.unique(np.minimum(o[same], o[same + 1]).astype(np.int64) << 32 | np.maximum(o[same], o[same + 1]))
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        ok = np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS
+        a, b = a[ok], b[ok]
+        root = np.arange(len(fps))
+        while True:  # smallest index reachable, by hooking and jumping
+            old = root.copy()
+            low_ab = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low_ab)
+            np.minimum.at(root, root[b], low_ab)
+            np.minimum.at(root, a, low_ab)
+            np.minimum.at(root, b, low_ab)
+            root = root[root]
+            if (root == old).all():
+                break
+        node = np.flatnonzero(root != np.arange(len(fps)))
+        yield fps[node], fps[root[node]]
+
+
+def _loads(held: np.ndarray, bits: int) -> np.ndarray:
+    """Variants that belong to each bucket; held: fingerprints by their leading bits."""
+    at = np.arange(1 << bits)
+    flipped = lambda x: sum(x[at ^ (1 << k)] for k in range(bits))
+    one = flipped(held)
+    two = (flipped(one) - bits * held) // 2  # two flips in turn: each pair twice, and back again
+    return sum(x * len(_masks(64 - bits, RADIUS // 2 - gone)) for gone, x in enumerate((held, one, two)))
 
 
 def links(distinct: DataFrame, shelf: Shelf) -> DataFrame:
@@ -154,14 +167,14 @@ def links(distinct: DataFrame, shelf: Shelf) -> DataFrame:
     bits = min(MAX_BITS, max(6, math.ceil(math.log2(max(1, n) * BALL / VARIANTS_PER_BUCKET))))
     low = 64 - bits
     # 2^bits counts at most: the only thing gathered, to plan the sub-buckets
-    held = {r[0]: r[1] for r in distinct.groupBy(F.shiftrightunsigned("fp", low).alias("p")).count().collect()}
-    flips = [m for m in _masks(bits, RADIUS // 2).tolist()]
-    cost = [len(_masks(low, RADIUS // 2 - bin(m).count("1"))) for m in flips]
-    sub = {}
-    for p in range(1 << bits):
-        load = sum(held.get(p ^ m, 0) * c for m, c in zip(flips, cost, strict=True))
-        sub[p] = max(0, math.ceil(math.log2(max(1, load) / VARIANTS_PER_BUCKET)))
-    deep = {p: s for p, s in sub.items() if s}
+    counts = np.zeros(1 << bits, np.int64)
+    for p, c in distinct.groupBy(F.shiftrightunsigned("fp", low).alias("p")).count().collect():
+        counts[p] = c
+    flips = _masks(bits, RADIUS // 2).tolist()
+    size = np.ceil(np.log2(np.maximum(_loads(counts, bits) / VARIANTS_PER_BUCKET, 1))).astype(int)
+    deep = {int(p): int(size[p]) for p in np.flatnonzero(size)}
+    # a task takes 2^PASSES sub-buckets one after the other; a fingerprint is sent again only for the tasks beyond
+    tasks_of = lambda p: 1 << max(0, deep.get(p, 0) - PASSES)
 
     def send(batches):
         held: dict[int, list[np.ndarray]] = {}
@@ -171,7 +184,7 @@ def links(distinct: DataFrame, shelf: Shelf) -> DataFrame:
             keys, blobs = [], []
             for p, parts in held.items():
                 blob = np.concatenate(parts).tobytes()
-                for s in range(1 << deep.get(p, 0)):
+                for s in range(tasks_of(p)):
                     keys.append(p << 32 | s)
                     blobs.append(blob)
             held.clear()
@@ -197,23 +210,23 @@ def links(distinct: DataFrame, shelf: Shelf) -> DataFrame:
         at, parts = None, []
 
         def done():
-            fps = np.frombuffer(b"".join(parts), np.uint64)
             p, s = at >> 32, at & 0xFFFFFFFF
-            a, b = _meet(fps, p, bits, s, deep.get(p, 0))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            subs = range(s, 1 << deep.get(p, 0), tasks_of(p))
+            for a, b in _meet(np.frombuffer(b"".join(parts), np.uint64), p, bits, subs, deep.get(p, 0)):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key != at and parts:
-                    yield done()
+                    yield from done()
                     parts = []
                 at = key
                 parts.append(blob)
         if parts:
-            yield done()
+            yield from done()
 
     spark = distinct.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(sub) // 8)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
     sent = distinct.select("fp").mapInArrow(send, "bucket long, fps binary")
     return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 

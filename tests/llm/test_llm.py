@@ -97,8 +97,8 @@ def test_meeting(sub_bits):
     root = {int(a): int(a) for a in fps}
     for p in range(16):
         near = np.bitwise_count((fps >> np.uint64(60)) ^ np.uint64(p)) <= 2
-        for s in range(1 << sub_bits):
-            for a, b in zip(*simhash._meet(fps[near], p, 4, s, sub_bits), strict=True):
+        for found in simhash._meet(fps[near], p, 4, range(1 << sub_bits), sub_bits):
+            for a, b in zip(*found, strict=True):
                 ra, rb = root[int(a)], root[int(b)]
                 root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
     true = {k: k for k in root}
@@ -108,6 +108,21 @@ def test_meeting(sub_bits):
     assert root == true
 
 
+def test_loads():
+    held = np.random.default_rng(2).integers(0, 9, 64)
+    want = [sum(held[q] * len(simhash._masks(58, 2 - (p ^ q).bit_count())) for q in range(64) if (p ^ q).bit_count() <= 2) for p in range(64)]
+    assert simhash._loads(held, 6).tolist() == want
+
+
+def test_simhash_divided(docs, monkeypatch):
+    """Buckets divided into sub-buckets and over tasks give the same components."""
+    want = {i: r.component_id for i, r in by_id(simhash.near_duplicates(docs)).items()}
+    monkeypatch.setattr(simhash, "VARIANTS_PER_BUCKET", 50)
+    monkeypatch.setattr(simhash, "MAX_BITS", 6)
+    monkeypatch.setattr(simhash, "PASSES", 2)
+    assert {i: r.component_id for i, r in by_id(simhash.near_duplicates(docs)).items()} == want
+
+
 def test_toxicity(spark, docs, empty):
     bad = ["vileword", "nastyword"]
     rows = [(1000 + i, " ".join(prose(20) + (f" {random.choice(bad)}" if i % 3 == 0 else "") for _ in range(4)), int(i % 3 == 0)) for i in range(1200)]
