@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, pii, simhash, toxicity, wfst
-from quillspark.llm.common import Shelf
+from quillspark.llm.common import Shelf, free
 
 
 def _counted(docs: DataFrame, cols: list[str]) -> DataFrame:
@@ -19,7 +19,8 @@ def _counted(docs: DataFrame, cols: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    name = free("score", docs.columns)
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,14 @@ class Shelf:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The texts as UTF-8 bytes; null is empty."""
     col = batch.column(batch.schema.get_field_index(name))

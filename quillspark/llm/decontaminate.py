@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import merge_spans, runs_of, slices, texts_of
+from .common import free, merge_spans, runs_of, slices, texts_of
 
 WINDOW = 10
 SHARD_WORDS = 400_000
 SAMPLE = 8
+RESULTS = ("_n_words", "_spans", "_items")
 BLOCK_BYTES = 32 << 20
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
@@ -212,8 +213,9 @@ def _blocks(benchmark: DataFrame):
 def scan(docs: DataFrame, benchmark: DataFrame, removing: bool = False) -> DataFrame:
     """The rows and columns of docs and ``_n_words``, ``_spans`` (of hit words, end exclusive), ``_items``.
 
-    With ``removing``, the columns of docs alone, the spans cut out of ``text``.
+    Columns of docs by these names give way. With ``removing``, the columns of docs alone, the spans cut out of ``text``.
     """
+    docs = docs.drop(*RESULTS)
     spark, at = docs.sparkSession, docs.columns.index("text")
     empty = F.array().cast("array<struct<a:long,b:long>>")
     out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": empty, "_items": F.array().cast("array<string>")})
@@ -262,7 +264,8 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows and columns of docs; benchmark passages are cut out of ``text``."""
-    return scan(docs, benchmark, removing=True)
+    aside = {c: free(c + "0", docs.columns) for c in docs.columns if c.lower() in RESULTS}
+    return scan(docs.withColumnsRenamed(aside), benchmark, removing=True).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

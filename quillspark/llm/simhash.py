@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, texts_of
+from .common import Shelf, free, texts_of
 from .graph import components
 
 SHINGLE = 4
@@ -254,20 +254,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, the one with the smallest doc_id; columns as in docs."""
     shelf, cols = Shelf(docs.sparkSession, "simhash"), docs.columns
-    plain = docs.withColumn("_row", F.monotonically_increasing_id())
+    row, fp_name = free("_row", cols), free("_fp", cols)
+    plain = docs.withColumn(row, F.monotonically_increasing_id())
     at = plain.columns.index("text")
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in texts_of(b.select([at]))], np.uint64).view(np.int64)
-            yield b.append_column("_fp", pa.array(fp))
+            yield b.append_column(fp_name, pa.array(fp))
 
-    marked = shelf.put(plain.mapInArrow(run, plain.withColumn("_fp", F.lit(0).cast("long")).schema))
-    rows = marked.select("_row", "doc_id", F.col("_fp").alias("fp"))
+    marked = shelf.put(plain.mapInArrow(run, plain.withColumn(fp_name, F.lit(0).cast("long")).schema))
+    rows = marked.select(F.col(row).alias("_row"), "doc_id", F.col(fp_name).alias("fp"))
     found = rows.join(classes(rows, shelf), "fp")
-    kept = shelf.put(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row")).select("_row"))
+    kept = shelf.put(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias(row)).select(row))
     # a merge join at every size: the list grows with the rows, and a switch to a broadcast would only hide the shuffle
-    return marked.join(kept.hint("merge"), "_row").select(*cols)
+    return marked.join(kept.hint("merge"), row).select(*cols)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

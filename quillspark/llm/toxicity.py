@@ -288,17 +288,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([(r.text or "").encode() for r in rows], [r.toxic for r in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows and columns of docs and ``score``, a double."""
-    cols = [c for c in docs.columns if c != "score"]
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The rows and columns of docs and the score, a double; a column of docs by its name gives way."""
+    cols = [c for c in docs.columns if c.lower() != name.lower()]
     docs = docs.select(*cols)
 
     def run(batches):
         scorer = Scorer(model)
         for b in slices(batches):
-            yield b.append_column("score", pa.array(scorer(texts_of(b)), pa.float64()))
+            yield b.append_column(name, pa.array(scorer(texts_of(b)), pa.float64()))
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

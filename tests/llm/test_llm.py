@@ -264,6 +264,21 @@ def test_two_stage_sorting():
         assert sa.tolist() == sorted(range(300), key=lambda i: data[i:])
 
 
+def test_clashing_columns(spark, docs, tmp_path):
+    """Stages hand on columns that are named like their own, values and all."""
+    names = ["score", "_row", "_fp", "_spans", "_items", "_n_words", "root", "component_id"]
+    wide = docs.select("doc_id", "text", "n_chars", *[F.lit(c).alias(c) for c in names])
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = [corpus_pipeline.STAGES[0][1](spark, wide, str(tmp_path))]
+    assert out[0].columns == wide.columns  # half of all scores 0.5: no labels, so none is kept
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out.append(stage(spark, wide, str(tmp_path)))
+    for o in out:
+        assert o.columns == wide.columns and all(r[c] == c for r in o.collect() for c in names)
+    assert PASSAGE not in by_id(out[2])[3].text and all(c.count() for c in out[1:])
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "pii", "sentencepiece"]
     plain = docs.drop("fp")
