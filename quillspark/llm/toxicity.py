@@ -12,7 +12,8 @@ class, of which at most MAX_FIT_CHARS characters are read, fitted on the driver
 with Adam. The highest-scoring window of a document carries its label.
 
 Null and empty texts get the score of an empty window. With fewer than two
-classes to learn from, every score is the smoothed share of label 1. Null
+classes to learn from, every score is the smoothed share of label 1 (a quarter
+without any label, so that nothing is rejected on no evidence). Null
 labels are skipped; a document labelled twice gives a sample each time.
 """
 
@@ -186,7 +187,7 @@ def _fill(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
     model, y = Model(), np.array(labels, f32)
     if len(y) == 0 or y.min() == y.max():
-        model.prior = (float(y.sum()) + 1) / (len(y) + 2)
+        model.prior = (float(y.sum()) + 0.5) / (len(y) + 2)
         return model
     words, rng = Words(), np.random.default_rng(seed)
     docs = [words.of(t) for t in texts]
