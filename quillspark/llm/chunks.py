@@ -2,13 +2,15 @@
 
 A gear rolling hash runs over a document's bytes (its value depends on the last
 32). A chunk ends where the hash is the least of the NEAR positions on either
-side, so chunks have over NEAR bytes, 2 * NEAR + 1 on average, and their borders
-depend on nearby bytes alone: behind an insertion the next border is the same
-as before. Chunks over MAX_CHUNK bytes, as in repeated bytes, are cut there.
+side and over NEAR bytes from either end of the text, so chunks have over NEAR
+bytes, 2 * NEAR + 1 on average, and their borders depend on nearby bytes alone:
+behind an insertion the next border is the same as before. A text of 2 * NEAR
+bytes or fewer is one chunk; a word said over and over is one each time. Chunks
+over MAX_CHUNK bytes, as in repeated bytes, are cut there.
 
 A chunk is repeated where its digest is found twice. The first one, by doc_id
-and then by place, stays; later ones go where the consecutive later chunks
-make up MIN_RUN bytes or more. Passages that share only a short phrase stay.
+and then by place, stays; all later ones go, however few bytes they make up.
+What a repeated passage has before its first border and behind its last stays.
 
 Digests are counted by a partial aggregation before the shuffle; repeated ones
 are joined back by an equi-join that the skew rule may split. No group is
@@ -32,7 +34,6 @@ from .common import Shelf, merge_spans, texts_of
 
 NEAR = 32
 MAX_CHUNK = 1024
-MIN_RUN = 100
 PIECE = 1 << 22
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -68,7 +69,7 @@ def borders(text: bytes) -> np.ndarray:
         cut = np.flatnonzero(h == _least(h, NEAR)) + lo + 1
         ends.append(cut[(cut > a) & (cut <= min(n, a + PIECE))])
     cut = np.concatenate(ends)
-    cut = cut[cut < n]
+    cut = cut[(cut > NEAR) & (cut < n - NEAR)]  # or a letter or two at an end would be a chunk, which repeats by chance
     start = np.concatenate(([0], cut))
     size = np.diff(np.append(start, n))
     if size.max() <= MAX_CHUNK and (size.min() > 1):
@@ -83,7 +84,7 @@ def borders(text: bytes) -> np.ndarray:
 
 
 def digests(text: bytes, ends: np.ndarray) -> list[int]:
-    """Signed 64-bit digests. A chance repeat matters only where neighbouring chunks repeat by chance too."""
+    """Signed 64-bit digests, trusted without a look at the bytes."""
     d, a, out = xxhash.xxh3_64_intdigest, 0, []
     for b in ends.tolist():
         out.append(d(text[a:b]))
@@ -95,8 +96,7 @@ def removed(text: bytes, again: list[int]) -> list[tuple[int, int]]:
     """Byte spans to remove; again: numbers of the chunks that occurred before."""
     ends = borders(text)
     start = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    spans = merge_spans([(int(start[i]), int(ends[i])) for i in again])
-    return [(a, b) for a, b in spans if b - a >= MIN_RUN]
+    return merge_spans([(int(start[i]), int(ends[i])) for i in again])
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -169,6 +169,21 @@ def test_chunks(docs, empty):
     assert chunks.dedup(empty).collect() == []
 
 
+def test_chunks_short(spark):
+    """Short exact copies go whole, each of these passages of 51 words in part; ends that are alike by chance stay."""
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n))
+    rows, passages = [words(3), words(3)[:20], words(12)[:99], "q"] * 2, [words(51) for _ in range(200)]
+    rows += [f"{words(60)} {p} {words(40)}" for _ in range(2) for p in passages]
+    rows += ["so " + words(30) + " end.", "so " + words(30) + " end.", words(30) + " " + "la " * 200]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = by_id(chunks.dedup(frame))
+    assert [got[i].n_removed for i in range(8)] == [0] * 4 + [len(r) for r in rows[:4]]
+    assert all(got[8 + i].n_removed == 0 and 0 < got[208 + i].n_removed <= len(p) for i, p in enumerate(passages))
+    assert got[408].n_removed == got[409].n_removed == 0 and 400 < got[410].n_removed < 600
+    assert all(np.diff(chunks.borders(r.encode()), prepend=0).min() > chunks.NEAR for r in rows[8:410])
+
+
 def test_sentencepiece(docs, empty):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=wfst.model_path())
     machine = wfst.Transducer(wfst.model_path())
