@@ -130,7 +130,7 @@ def _bpe(rank: dict):
 
 @dataclass(frozen=True)
 class TokenizeSentencePiece(Step):
-    """Pieces of a SentencePiece model: a given file, or one trained by the library on word counts."""
+    """Pieces of a SentencePiece model: a given file, or one trained by the library on the full counts of its words."""
 
     vocabulary_size: int = 1000
     model_file: str | None = None
@@ -155,7 +155,7 @@ class TokenizeSentencePiece(Step):
                 if self.vocabulary_size < len(letters):
                     raise ValueError(f"vocabulary_size of {self.vocabulary_size} is too small for column {n}; it has {len(letters)} characters")
                 out = io.BytesIO()
-                sp.SentencePieceTrainer.train(sentence_iterator=iter([r.w for r in rows for _ in range(min(r.n, 50))]), model_writer=out, vocab_size=self.vocabulary_size, hard_vocab_limit=False, minloglevel=2, **self.options)
+                sp.SentencePieceTrainer.train(sentence_iterator=(f"{r.w}\t{r.n}" for r in rows), input_format="tsv", model_writer=out, vocab_size=self.vocabulary_size, hard_vocab_limit=False, minloglevel=2, **self.options)
                 models[n] = out.getvalue()
             p = sp.SentencePieceProcessor(model_proto=models[n])
             vocab[n] = [p.id_to_piece(i) for i in range(p.get_piece_size())]

@@ -1,6 +1,8 @@
+import io
 import math
 
 import pytest
+import sentencepiece as sp
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -121,6 +123,17 @@ def test_subwords(sam):
     assert subword.wordpiece(SAM[1], frozenset(vocab)) == ["i", "would", "not", "eat", "them", "any", "##where", "."]
 
 
+def test_sentencepiece_counts(spark):
+    """The model is that of the whole column: a word seen 500 times weighs more than one seen 51 times."""
+    counts = {"hello": 51, "help": 51, "under": 51, "thunder": 500, "low": 60, "lower": 500, "newest": 500, "lowest": 60, "held": 51, "new": 60}
+    words = [w for w, n in sorted(counts.items()) for _ in range(n)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, text string")
+    out, model = O.Pipeline((O.TokenizeSentencePiece("text", vocabulary_size=30),)).fit(df).training, io.BytesIO()
+    sp.SentencePieceTrainer.train(sentence_iterator=iter(words), model_writer=model, vocab_size=30, hard_vocab_limit=False, minloglevel=2)
+    plain = sp.SentencePieceProcessor(model_proto=model.getvalue())
+    assert tokens(out) == [plain.encode(w, out_type=str) for w in words]
+
+
 def test_stems():
     for w, s in (("caresses", "caress"), ("ponies", "poni"), ("hopping", "hop"), ("relational", "relat"), ("generously", "generous"), ("sky", "sky"), ("running", "run"), ("consistency", "consist")):
         assert stem.english(w) == s
