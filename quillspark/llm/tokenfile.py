@@ -14,7 +14,8 @@ offset and unpacked by numpy at once, so ids i..j of a segment are read without
 the rest. Segments are rows of a Parquet table, written by Spark's committing
 writer to any store it reaches: a lost or repeated task leaves no half file.
 
-Null text is empty: END alone. Repeated rows are each written.
+Null text is empty: END alone. Repeated rows are each written. An added token of
+the tokenizer's file that stands in a text is that token, as in the library.
 """
 
 from __future__ import annotations
@@ -122,14 +123,17 @@ class Encoder:
     closing mark; merges stay within its parts. A text whose white space is
     single blanks and line ends is cut there. Words of letters, with or without
     a mark, go to the library's model; pieces of other kinds, and texts with
-    other white space, to its whole encoder.
+    other white space or an added token, to its whole encoder. With ``special``
+    the file's special tokens are recognised in texts, as the library does if
+    nothing else is said; without, they are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         self.vocab = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.line = self._raw(["\n"])[0]
@@ -171,7 +175,7 @@ class Encoder:
             self.known, self.seen = _Pieces(self._learn), bytearray(SEEN)
         get, skip, out = self.known.__getitem__, len(self.line), []
         for t in texts:
-            if not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or any(c in t for c in (ASCII_SPACES if t.isascii() else SPACES)):
+            if not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or any(c in t for c in (ASCII_SPACES if t.isascii() else SPACES)) or any(m in t for m in self.added):
                 out += self._raw([t])
                 continue
             units = ("\n" + t.replace("\n", " \n")).split(" ")
@@ -189,7 +193,7 @@ def write(docs: DataFrame, path: str, shelf: Shelf) -> DataFrame:
 
     def run(batches):
         gc.disable()  # nothing here makes cycles, and the table of pieces is large
-        encode, part, before = held(Encoder, path), TaskContext.get().partitionId(), 0
+        encode, part, before = held(Encoder, path, True), TaskContext.get().partitionId(), 0
         width = width_of(max(encode.vocab, END + 1))
         ids, ends, doc_ids, size = [], [], [], 0
         end, field = np.array([END], "<u4").tobytes(), None

@@ -264,6 +264,22 @@ def test_token_file(spark, docs, empty):
     assert tokenfile.read(tokenfile.write(empty, path, tokenfile.Shelf(spark, "test"))).collect() == []
 
 
+def test_token_file_added(spark):
+    """Texts that hold the file's added token, against the library's tokenizer as it comes."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, mark, at = Tokenizer.from_file(path), "<|endoftext|>", 0
+    texts = ["one two", f"end {mark} next", mark, f"a{mark}b {mark}\nc.", f"{mark}{mark}", "<|endoftext|", f" {mark} ", f"é {mark}日 ok", "three four"]
+    got = by_id(tokenfile.read(tokenfile.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, tokenfile.Shelf(spark, "test"))))
+    assert plain.encode(texts[1], add_special_tokens=False).ids == [437, 220, 50256, 1306]
+    for i, x in enumerate(texts):
+        ids = np.array([*plain.encode(x, add_special_tokens=False).ids, 0], "<u4")
+        assert tuple(got[i]) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 @pytest.mark.parametrize("length,hot", [(400, suffixes.HOT), (60, 3)])
 def test_suffixes(docs, empty, length, hot):
     got = by_id(suffixes.dedup(docs, length, hot))
