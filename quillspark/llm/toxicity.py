@@ -1,6 +1,7 @@
 """Operator 4, toxicity: a bidirectional GRU with attention pooling, in numpy.
 
-Input: words (runs of non-blank characters, lower-cased A-Z). A word's vector is
+Input: words (runs of non-blank characters, lower-cased A-Z; of a run over LONG
+bytes, pieces of LONG bytes that overlap by half). A word's vector is
 a hashed word embedding beside the mean of hashed character-trigram embeddings,
 so an unseen inflection is known by its letters. A forward and a backward GRU
 read a window of WINDOW words; attention pools their states; a logistic unit
@@ -35,6 +36,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATT = 6, 12, 8, 8
 MAX_FIT = {0: 4500, 1: 1500}
 MAX_FIT_CHARS = 12_000
 EPOCHS, MIN_STEPS, BATCH, BAG, RATE, DECAY = 5, 360, 64, 5, 0.01, 0.02
+LONG = 40
 BLOCK = 1024  # windows scored at once
 CACHE = 150_000
 f32 = np.float32
@@ -44,6 +46,14 @@ def _sig(x: np.ndarray) -> np.ndarray:
     return f32(1) / (f32(1) + np.exp(-np.clip(x, -30, 30)))
 
 
+def split(text: bytes) -> list[bytes]:
+    """The words of a text; what is no longer than half of LONG stands whole in a piece of a long run."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONG else [w[a : a + LONG] for a in range(0, len(w) - LONG // 2, LONG // 2)])]
+
+
 class Words:
     """Distinct words as numbers, with their word bucket and trigram buckets."""
 
@@ -52,15 +62,15 @@ class Words:
 
     def of(self, text: bytes) -> np.ndarray:
         ids = self.ids
-        return np.array([ids.setdefault(w, len(ids)) for w in text.lower().split()], np.int64)
+        return np.array([ids.setdefault(w, len(ids)) for w in split(text)], np.int64)
 
     def features(self, since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word buckets; trigram buckets in a row; where each word's begin."""
         words = list(self.ids)[since:]
         bucket = np.array([xxhash.xxh32_intdigest(w) for w in words], np.int64) % WORD_ROWS
         # "^word$" has as many trigrams as the word has letters; at a join of two words there are two that belong to none
-        flat = np.frombuffer(b"".join(b"^" + w[:40] + b"$" for w in words), np.uint8).astype(np.int64)
-        size = np.array([min(len(w), 40) for w in words], np.int64)
+        flat = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8).astype(np.int64)
+        size = np.array([len(w) for w in words], np.int64)
         end = np.cumsum(size + 2)
         tri = ((flat[:-2] * 961 + flat[1:-1] * 31 + flat[2:]) * 2654435761 >> 7) % CHAR_ROWS
         keep = np.ones(len(tri) + 2, bool)

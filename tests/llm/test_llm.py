@@ -140,6 +140,24 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, model).collect() == []
 
 
+def test_long_words():
+    """All of a run without blanks is read: in its features, and as far as the score."""
+    run = "".join(random.choices("abcdefghijklmnop", k=997)).encode()
+    words = toxicity.Words()
+    ids, (_, tri, start) = words.of(run), words.features()
+    short = toxicity.Words()
+    for i in range(len(run) - 2):
+        short.of(run[i : i + 3])
+    want = set(short.features()[1].reshape(-1, 3)[:, 1].tolist())
+    assert want <= set(tri.tolist()) and len(ids) == len(start) > toxicity.WINDOW
+    assert toxicity.split(b"a" * 40 + b" B") == [b"a" * 40, b"b"]
+    assert all(any(run[i : i + 20] in w for w in words.ids) for i in range(len(run) - 19))
+    text = lambda bad, at: ("_".join(random.choices(VOCAB, k=30)) + "_" + ("vileword_" * bad) + "_".join(random.choices(VOCAB, k=at)))
+    model = toxicity.train([text(i % 2, 60).encode() for i in range(600)], [i % 2 for i in range(600)])
+    got = toxicity.Scorer(model)([text(i % 2, 60).encode() for i in range(100)])
+    assert np.mean([(s >= 0.5) == i % 2 for i, s in enumerate(got)]) > 0.9
+
+
 def test_gradients():
     model = toxicity.Model(1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
