@@ -17,7 +17,8 @@ are joined back by an equi-join that the skew rule may split. No group is
 gathered: a document gets the numbers of its own repeated chunks.
 
 Null text is empty: nothing is removed. Rows that share doc_id and text are the
-same document given again and are all treated alike. Extra columns are ignored.
+same document given again and are all treated alike; other texts of a doc_id, or
+of a null one, are documents of their own, in the order of their hashes. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,10 +121,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     chunks = keyed.mapInArrow(cut, f"doc_id {kind}, h long, at int, d long, inner boolean")
     # more than one document, or twice in one
-    known = chunks.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("inner").alias("twice")).where("twice OR first <> last")
+    key = F.struct("doc_id", "h")  # a document; structs order nulls first and compare them as equal
+    known = chunks.groupBy("d").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("inner").alias("twice")).where("twice OR first <> last")
     # as a table of its own, so that the join has plain shuffles on both sides and a skewed digest can be split
     found = chunks.join(Shelf(docs.sparkSession, "chunks").put(known.select("d", "first")), "d")
-    later = (F.col("inner") | ~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later")
+    later = (F.col("inner") | ~key.eqNullSafe(F.col("first"))).alias("later")
     listed = found.select("doc_id", "h", "at", later).groupBy("doc_id", "h").agg(F.collect_set(F.when(F.col("later"), F.col("at"))).alias("again"), F.collect_set("at").alias("repeated"))
     listed = listed.withColumnsRenamed({"doc_id": "doc_id2", "h": "h2"})
     both = keyed.join(listed, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("h") == F.col("h2")), "left").select("doc_id", "text", "again", "repeated")

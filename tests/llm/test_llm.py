@@ -202,6 +202,17 @@ def test_chunks_short(spark):
     assert all(np.diff(chunks.borders(r.encode()), prepend=0).min() > chunks.NEAR for r in rows[8:410])
 
 
+def test_chunks_ids(spark):
+    """A passage shared by null ids, by other texts of one id, or by a null and another id is kept once."""
+    for ids in ([None, 5], [None, None], [5, 5], ["a", None, "a", None]):
+        texts = [f"{prose(60)} {PASSAGE} {prose(40)}" for _ in ids]
+        kind = "string" if "a" in ids else "long"
+        got = chunks.dedup(spark.createDataFrame([*zip(ids, texts), (ids[0], texts[0])], f"doc_id {kind}, text string").repartition(3)).collect()
+        n = {r.kept: r.n_removed for r in got}
+        assert len(got) == len(ids) + 1 and len(n) == len(ids) and all(r.n_repeated > 150 for r in got)
+        assert sorted(x > 150 for x in n.values()) == [False] + [True] * (len(ids) - 1) and min(n.values()) == 0
+
+
 def test_sentencepiece(docs, empty):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=wfst.model_path())
     machine = wfst.Transducer(wfst.model_path())
