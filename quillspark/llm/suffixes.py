@@ -6,21 +6,24 @@ Every byte covered by a LENGTH-byte string that also starts anywhere else goes.
    K-grams. Equal windows have equal names, so a run of windows with one name is
    a segment that meets all its possible repeats under that name. Names seen in
    two different places, or twice within one segment, are found by a partial
-   aggregation; others need no further work. Names carried by over HOT segments (K-grams of a very common
-   line) are demoted below all others and the naming is done again, which
-   spreads their windows over the neighbouring names; the windows of demoted
-   K-grams only lie inside the common passage itself and are equal segments.
-2. The segments of repeated names are shuffled by name. Equal segments are
-   merged before the shuffle, keeping whether they stand in two places.
-3. Batches of whole names get a suffix array by two-stage sorting: suffixes
-   smaller than their successor are sorted directly, all others are induced by
-   one scan over the buckets of first bytes. Adjacent suffixes whose common
-   prefix has LENGTH bytes are repeats.
+   aggregation; others need no further work.
+2. Equal segments are made one, keeping whether they stand in two places. A name
+   that over HOT different segments carry (those around a very common line) is
+   divided: its segments are named again by longer and longer K-grams, which
+   take in more and more of what stands around the line, up to whole windows,
+   where only equal windows share a name. So no name has over HOT segments, and
+   the list of such names stays a table.
+3. The segments are shuffled by name. Batches of whole names get a suffix array
+   by two-stage sorting: suffixes smaller than their successor are sorted
+   directly, all others are induced by one scan over the buckets of first bytes.
+   Adjacent suffixes whose common prefix has LENGTH bytes are repeats.
 4. The removed spans go back to their texts, where overlapping ones are merged.
 
-Equal texts count as one text that stands in several places. Null text is
-empty. Repeated rows are repeats of each other: both lose all their bytes if
-they have LENGTH or more. Extra columns are ignored.
+Texts and segments are told apart by 128-bit hashes. Equal texts count as one
+text that stands in several places. Null text is empty. Repeated rows are repeats
+of each other: both lose all their bytes if they have LENGTH or more. Null ids are
+ids like any other. Extra columns are ignored, whatever their names. Empty table:
+an empty result.
 """
 
 from __future__ import annotations
@@ -38,29 +41,28 @@ from .common import Shelf, merge_spans, runs_of, slices, texts_of
 
 LENGTH = 400
 K = 32
-HOT = 5_000
-HOT_ROUNDS = 3
-MAX_DEMOTED = 16_000_000  # names sent to all tasks in a round, 8 bytes each
+HOT = 500
 SORT_PIECE = 50_000
 BATCH_BYTES = 1_000_000
+TASK_BYTES = 64 << 20
 PIECE = 1 << 21
 M1, M2, M3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
-TOP = np.uint64(1 << 63)
 
 
-def kgrams(x: np.ndarray) -> np.ndarray:
-    """A 63-bit hash of the K bytes (a power of two) at every position, by doubling."""
+def kgrams(x: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k bytes at every position, by doubling; the last step overlaps."""
     h = (x.astype(np.uint64) + np.uint64(1)) * M1
     h ^= h >> np.uint64(32)
     h *= M1
     step = 1
-    while step < K:
-        a, b = h[:-step], h[step:]
+    while step < k:
+        by = min(step, k - step)
+        a, b = h[: len(h) - by], h[by:]
         h = (a * M2) ^ (b >> np.uint64(29)) ^ (b * M3)
-        step *= 2
+        step += by
     h ^= h >> np.uint64(31)
     h *= M1
-    return (h ^ (h >> np.uint64(32))) & ~TOP
+    return h ^ (h >> np.uint64(32))
 
 
 def _slide(h: np.ndarray, w: int, f: np.ufunc, fill: int) -> np.ndarray:
@@ -74,12 +76,8 @@ def _slide(h: np.ndarray, w: int, f: np.ufunc, fill: int) -> np.ndarray:
     return f(suf[:n], pre[w - 1 : w - 1 + n])
 
 
-def _named(x: np.ndarray, length: int, demoted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    h, w = kgrams(x), length - K + 1
-    if len(demoted):
-        at = np.searchsorted(demoted, h)
-        at[at == len(demoted)] = 0
-        h = np.where(demoted[at] == h, h | TOP, h)
+def _named(x: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    h, w = kgrams(x, k), length - k + 1
     m = _slide(h, w, np.minimum, np.iinfo(np.uint64).max)
     start = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
     end = np.append(start[1:], len(m))
@@ -93,18 +91,30 @@ def _named(x: np.ndarray, length: int, demoted: np.ndarray) -> tuple[np.ndarray,
     return m[start], start, end, twice
 
 
-def segments(text: bytes, length: int, demoted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(text: bytes, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(name, first window, end of windows, whether the K-gram stands in it twice) of the runs of windows with one name."""
     n, parts = len(text) - length + 1, []
     x = np.frombuffer(text, np.uint8)
     for a in range(0, n, PIECE):  # pieces bound the memory; a run may be cut between them
-        name, start, end, twice = _named(x[a : a + PIECE + length - 1], length, demoted)
+        name, start, end, twice = _named(x[a : a + PIECE + length - 1], length, k)
         parts.append((name, start + a, end + a, twice))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+def finer(length: int) -> list[int]:
+    """The lengths of the K-grams by which hot names are divided, the last a whole window."""
+    w = length - K + 1
+    return [length - max(1, w // by) + 1 for by in (2, 8, 40, w)]
+
+
+def digest(part: bytes) -> tuple[int, int]:
+    """128 bits as two signed numbers."""
+    d = xxhash.xxh3_128_digest(part)
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
 def words_of(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on as a big-endian number; zeros behind the end."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -215,6 +225,83 @@ def repeated(parts: list[bytes], many: list[bool], length: int) -> list[np.ndarr
     return out
 
 
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+
+LONG, SPANS = pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _cells(rows: DataFrame, place: list[str]) -> DataFrame:
+    """name, d1, d2, part, many of the different segments among rows(name, d1, d2, part, many, *place)."""
+    at = F.xxhash64(*place)
+    found = rows.groupBy("d1", "d2").agg(F.first("part", ignorenulls=True).alias("part"), F.min("name").alias("name"), (F.max("many") | (F.min(at) != F.max(at))).alias("many"))
+    return found.select("name", "d1", "d2", "part", "many")
+
+
+def _divided(cells: DataFrame, length: int, k: int) -> DataFrame:
+    """The segments named again by k-grams: name, d1, d2, part, many, the former segment p1, p2 and the place in it."""
+
+    def run(batches):
+        for b in slices(batches):
+            rows = []
+            for name, d1, d2, part, many in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                for m, s, e, _ in zip(*segments(part, length, k), strict=True):
+                    sub = part[s : e + length - 1]
+                    rows.append((xxhash.xxh3_64_intdigest(f"{name} {m}") >> 1, *digest(sub), sub, many, d1, d2, int(s)))
+            yield _batch(rows, [LONG, LONG, LONG, pa.binary(), pa.bool_(), LONG, LONG, LONG], ["name", "d1", "d2", "part", "many", "p1", "p2", "a"])
+
+    return cells.select("name", "d1", "d2", "part", "many").mapInArrow(run, "name long, d1 long, d2 long, part binary, many boolean, p1 long, p2 long, a long")
+
+
+def _sorted(cells: DataFrame, length: int) -> DataFrame:
+    """d1, d2 and the spans of windows that stand elsewhere too, for each of cells(name, d1, d2, part, many)."""
+
+    def sort(batches):
+        group, held, size, last = {}, {}, 0, None
+
+        def work():
+            keys = list(held)
+            out = repeated([held[k][0] for k in keys], [held[k][1] for k in keys], length)
+            spans = [(*k, [{"a": int(a), "b": int(b)} for a, b in runs_of(m)]) for k, m in zip(keys, out, strict=True)]
+            return _batch([s for s in spans if s[2]], [LONG, LONG, SPANS], ["d1", "d2", "spans"])
+
+        for b in slices(batches):
+            for name, d1, d2, part, many in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
+                if name != last:
+                    held |= group
+                    group = {}
+                    if size > BATCH_BYTES:
+                        yield work()
+                        held, size = {}, 0
+                    last = name
+                group[d1, d2] = (part, many)
+                size += len(part)
+        held |= group
+        if held:
+            yield work()
+
+    size = cells.agg(F.sum(F.octet_length("part"))).first()[0] or 0
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    ordered = cells.select("name", "d1", "d2", "part", "many").repartition(tasks, "name").sortWithinPartitions("name")
+    return ordered.mapInArrow(sort, "d1 long, d2 long, spans array<struct<a:long,b:long>>")
+
+
+def _repeats(rows: DataFrame, place: list[str], length: int, hot: int, steps: list[int], shelf: Shelf) -> DataFrame:
+    """d1, d2, spans of the segments among rows; the segments of hot names are divided first."""
+    cells = shelf.put(_cells(rows, place))
+    crowded = shelf.put(cells.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("name")) if steps else None
+    if crowded is None or crowded.isEmpty():
+        return _sorted(cells, length)
+    parts = shelf.put(_divided(cells.join(crowded, "name", "left_semi"), length, steps[0]))
+    inner = _repeats(parts, ["p1", "p2", "a"], length, hot, steps[1:], shelf)
+    moved = F.transform("spans", lambda s: F.struct((F.col("a") + s.a).alias("a"), (F.col("a") + s.b).alias("b")))
+    back = parts.select("d1", "d2", "p1", "p2", "a").join(inner, ["d1", "d2"]).select("p1", "p2", moved.alias("spans"))
+    back = back.groupBy("p1", "p2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rest = cells.join(crowded, "name", "left_anti")
+    return _sorted(rest, length).unionByName(back.select(F.col("p1").alias("d1"), F.col("p2").alias("d2"), "spans"))
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) for every row. length > K."""
     spark = docs.sparkSession
@@ -233,96 +320,49 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                 if k not in seen:
                     seen.add(k)
                     out.append((*k, squeeze.compress(t)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], y) for i, y in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["t1", "t2", "z"])
+            yield _batch(out, [LONG, LONG, pa.binary()], ["t1", "t2", "z"])
 
     long_ones = keyed.where(F.octet_length("text") >= length).select("text", "t1", "t2")
     packed = long_ones.mapInArrow(pack, "t1 long, t2 long, z binary")
     counted = keyed.groupBy("t1", "t2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
 
-    def named(demoted: np.ndarray):
-        def run(batches):
-            seen: set[tuple[int, int]] = set()
-            for b in slices(batches):
-                cols = [[], [], [], [], [], []]
-                for text, k in zip(texts_of(b), zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True):
-                    if k in seen:
-                        continue
-                    seen.add(k)
-                    name, a, e, twice = segments(text, length, demoted)
-                    for c, v in zip(cols, (name.view(np.int64), np.full(len(name), k[0]), np.full(len(name), k[1]), a, e, twice.astype(np.int64)), strict=True):
-                        c.append(v)
-                arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["name", "t1", "t2", "a", "e", "twice"])
-
-        return long_ones.mapInArrow(run, "name long, t1 long, t2 long, a long, e long, twice long")
-
-    demoted = np.zeros(0, np.uint64)
-    for step in range(HOT_ROUNDS):
-        place = F.xxhash64("t1", "t2", "a")
-        runs = shelf.put(named(demoted))
-        hot = max(hot, runs.count() // MAX_DEMOTED)
-        twice = shelf.put(runs.groupBy("name").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n"), F.max("twice").alias("twice")).where("lo <> hi OR twice = 1").select("name", "n"))
-        # MAX_DEMOTED names at most
-        more = [r.name for r in twice.where((F.col("n") > hot) & (F.col("name") >= 0)).select("name").collect()]
-        if not more or step == HOT_ROUNDS - 1:
-            break
-        shelf.drop(runs)
-        demoted = np.unique(np.concatenate([demoted, np.array(more, np.int64).view(np.uint64)]))
-    listed = runs.join(twice.select("name"), "name").groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "e", "name")).alias("runs"))
+    def named(batches):
+        seen: set[tuple[int, int]] = set()
+        for b in slices(batches):
+            cols = [[], [], [], [], [], []]
+            for text, k in zip(texts_of(b), zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True):
+                if k in seen:
+                    continue
+                seen.add(k)
+                name, a, e, twice = segments(text, length)
+                for c, v in zip(cols, (name.view(np.int64), np.full(len(name), k[0]), np.full(len(name), k[1]), a, e, twice.astype(np.int64)), strict=True):
+                    c.append(v)
+            arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(x, LONG) for x in arrays], ["name", "t1", "t2", "a", "e", "twice"])
+
+    place = F.xxhash64("t1", "t2", "a")
+    runs = shelf.put(long_ones.mapInArrow(named, "name long, t1 long, t2 long, a long, e long, twice long"))
+    twice = shelf.put(runs.groupBy("name").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("twice").alias("twice")).where("lo <> hi OR twice = 1").select("name"))
+    listed = runs.join(twice, "name").groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "e", "name")).alias("runs"))
 
     def cut(batches):
-        seen: dict[int, set[int]] = {}
+        seen: set[tuple[int, int]] = set()
         for b in slices(batches):
             rows = []
             for z, t1, t2, found in zip(*[b.column(i).to_pylist() for i in (2, 0, 1, 3)], strict=True):
                 text = zstandard.decompress(z)
                 for r in found:
                     part = text[r["a"] : r["e"] + length - 1]
-                    d = int(np.uint64(xxhash.xxh3_64_intdigest(part)).view(np.int64))
-                    x = int(np.uint64(xxhash.xxh3_64_intdigest(f"{t1} {t2} {r['a']}")).view(np.int64))
-                    known = seen.setdefault(d, set())
-                    rows.append((r["name"], d, x, t1, t2, r["a"], r["e"], None if known else part))
-                    if len(known) < 2:
-                        known.add(x)
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["name", "d", "x", "t1", "t2", "a", "e", "part"])
-
-    rows = shelf.put(packed.join(listed, ["t1", "t2"]).select("t1", "t2", "z", "runs").mapInArrow(cut, "name long, d long, x long, t1 long, t2 long, a long, e long, part binary"))
-    stands = shelf.put(rows.groupBy("d").agg((F.min("x") != F.max("x")).alias("many")))
-    dealt = rows.where("part is not null").select("name", "d", "part").join(stands, "d")
-
-    def sort(batches):
-        group, held, size, last = {}, {}, 0, None
-
-        def work():
-            keys = list(held)
-            out = repeated([held[k][0] for k in keys], [held[k][1] for k in keys], length)
-            spans = [runs_of(m) for m in out]
-            keep = [i for i, s in enumerate(spans) if len(s)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in keep], pa.int64()), pa.array([[{"a": int(a), "b": int(b)} for a, b in spans[i]] for i in keep], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["d", "spans"]
-            )
-
-        for b in slices(batches):
-            for name, d, part, many in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                if name != last:
-                    held |= group
-                    group = {}
-                    if size > BATCH_BYTES:
-                        yield work()
-                        held, size = {}, 0
-                    last = name
-                if d not in group:
-                    group[d] = (part, many)
-                    size += len(part)
-        held |= group
-        if held:
-            yield work()
-
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.select("name", "d", "part", "many").repartition(tasks, "name").sortWithinPartitions("name")
-    hits = ordered.mapInArrow(sort, "d long, spans array<struct<a:long,b:long>>")
-    spans = rows.select("d", "t1", "t2", "a").join(hits, "d").select("t1", "t2", F.transform("spans", lambda s: F.struct((F.col("a") + s.a).alias("a"), (F.col("a") + s.b - 1 + length).alias("b"))).alias("spans"))
+                    d = digest(part)
+                    rows.append((r["name"], *d, None if d in seen else part, False, t1, t2, r["a"]))
+                    seen.add(d)
+            yield _batch(rows, [LONG, LONG, LONG, pa.binary(), pa.bool_(), LONG, LONG, LONG], ["name", "d1", "d2", "part", "many", "t1", "t2", "a"])
+
+    rows = shelf.put(packed.join(listed, ["t1", "t2"]).select("t1", "t2", "z", "runs").mapInArrow(cut, "name long, d1 long, d2 long, part binary, many boolean, t1 long, t2 long, a long"))
+    shelf.drop(runs, twice)
+    hits = _repeats(rows, ["t1", "t2", "a"], length, hot, finer(length), shelf)
+    spans = rows.select("d1", "d2", "t1", "t2", "a").join(hits, ["d1", "d2"])
+    spans = spans.select("t1", "t2", F.transform("spans", lambda s: F.struct((F.col("a") + s.a).alias("a"), (F.col("a") + s.b - 1 + length).alias("b"))).alias("spans"))
     # one row for each text that loses bytes; a text that stands in several rows loses all
     spans = spans.withColumn("copied", F.lit(False)).unionByName(counted.withColumn("copied", F.lit(True)), allowMissingColumns=True)
     spans = spans.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.max("copied").alias("copied"))
@@ -339,7 +379,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                     p = y
                 for c, v in zip(cols, (len(t), sum(y - x for x, y in spans), len(spans), b"".join([*kept, t[p:]])), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, LONG) for c in cols[:3]], pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return both.select("doc_id", "text", "spans", "copied").mapInArrow(drop, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
