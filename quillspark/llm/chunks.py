@@ -5,12 +5,14 @@ A gear rolling hash runs over a document's bytes (its value depends on the last
 side and over NEAR bytes from either end of the text, so chunks have over NEAR
 bytes, 2 * NEAR + 1 on average, and their borders depend on nearby bytes alone:
 behind an insertion the next border is the same as before. A text of 2 * NEAR
-bytes or fewer is one chunk; a word said over and over is one each time. Chunks
-over MAX_CHUNK bytes, as in repeated bytes, are cut there.
+bytes or fewer is one chunk; a word said over and over, whose equal minima are
+all borders, is one each time. In a run of one byte, where each place has the
+same hash as the one before, only the first is a border; chunks over MAX_CHUNK
+bytes, as there, are cut at every MAX_CHUNK bytes from their start.
 
-A chunk is repeated where its digest is found twice. The first one, by doc_id
-and then by place, stays; all later ones go, however few bytes they make up.
-What a repeated passage has before its first border and behind its last stays.
+A chunk is repeated where its digest (128 bits) is found twice. The first one, by
+doc_id and then by place, stays; all later ones go, however few bytes they make
+up. What a repeated passage has before its first border and behind its last stays.
 
 Digests are counted by a partial aggregation before the shuffle; repeated ones
 are joined back by an equi-join that the skew rule may split. No group is
@@ -18,13 +20,12 @@ gathered: a document gets the numbers of its own repeated chunks.
 
 Null text is empty: nothing is removed. Rows that share doc_id and text are the
 same document given again and are all treated alike; other texts of a doc_id, or
-of a null one, are documents of their own, in the order of their hashes. Extra columns are ignored.
+of a null one, are documents of their own, in the order of their hashes. Extra
+columns are ignored, whatever their names. Empty table: an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -70,27 +71,21 @@ def borders(text: bytes) -> np.ndarray:
         cut = np.flatnonzero(h == _least(h, NEAR)) + lo + 1
         ends.append(cut[(cut > a) & (cut <= min(n, a + PIECE))])
     cut = np.concatenate(ends)
+    cut = cut[np.concatenate(([True], np.diff(cut) > 1))] if len(cut) else cut  # a run of one byte has one border
     cut = cut[(cut > NEAR) & (cut < n - NEAR)]  # or a letter or two at an end would be a chunk, which repeats by chance
     start = np.concatenate(([0], cut))
     size = np.diff(np.append(start, n))
-    if size.max() <= MAX_CHUNK and (size.min() > 1):
-        return np.append(cut, n)
-    # equal minima side by side (repeated bytes) are no borders; long chunks are cut evenly
-    keep = np.concatenate(([True], np.diff(cut) > NEAR)) if len(cut) else np.zeros(0, bool)
-    cut = cut[keep]
-    start = np.concatenate(([0], cut))
-    size = np.diff(np.append(start, n))
     more = [np.arange(s + MAX_CHUNK, s + z, MAX_CHUNK) for s, z in zip(start[size > MAX_CHUNK], size[size > MAX_CHUNK], strict=True)]
     return np.unique(np.concatenate([cut, *more, [n]])).astype(np.int64)
 
 
-def digests(text: bytes, ends: np.ndarray) -> list[int]:
-    """Signed 64-bit digests, trusted without a look at the bytes."""
-    d, a, out = xxhash.xxh3_64_intdigest, 0, []
+def digests(text: bytes, ends: np.ndarray) -> list[bytes]:
+    """Digests of 128 bits, trusted without a look at the bytes."""
+    d, a, out = xxhash.xxh3_128_digest, 0, []
     for b in ends.tolist():
         out.append(d(text[a:b]))
         a = b
-    return np.array(out, np.uint64).view(np.int64).tolist()
+    return out
 
 
 def removed(text: bytes, again: list[int]) -> list[tuple[int, int]]:
@@ -109,22 +104,22 @@ def dedup(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows, at, d, local = [], [], [], []
             for i, t in enumerate(texts_of(b)):
-                seen: set[int] = set()
+                seen: set[bytes] = set()
                 for k, x in enumerate(digests(t, borders(t))):
                     rows.append(i)
                     at.append(k)
                     d.append(x)
                     local.append(x in seen)
                     seen.add(x)
-            take = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array(at, pa.int32()), pa.array(d, pa.int64()), pa.array(local, pa.bool_())], ["doc_id", "h", "at", "d", "inner"])
+            take, both = pa.array(rows, pa.int32()), np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array(at, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(local, pa.bool_())], ["doc_id", "h", "at", "d1", "d2", "inner"])
 
-    chunks = keyed.mapInArrow(cut, f"doc_id {kind}, h long, at int, d long, inner boolean")
+    chunks = keyed.mapInArrow(cut, f"doc_id {kind}, h long, at int, d1 long, d2 long, inner boolean")
     # more than one document, or twice in one
     key = F.struct("doc_id", "h")  # a document; structs order nulls first and compare them as equal
-    known = chunks.groupBy("d").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("inner").alias("twice")).where("twice OR first <> last")
+    known = chunks.groupBy("d1", "d2").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("inner").alias("twice")).where("twice OR first <> last")
     # as a table of its own, so that the join has plain shuffles on both sides and a skewed digest can be split
-    found = chunks.join(Shelf(docs.sparkSession, "chunks").put(known.select("d", "first")), "d")
+    found = chunks.join(Shelf(docs.sparkSession, "chunks").put(known.select("d1", "d2", "first")), ["d1", "d2"])
     later = (F.col("inner") | ~key.eqNullSafe(F.col("first"))).alias("later")
     listed = found.select("doc_id", "h", "at", later).groupBy("doc_id", "h").agg(F.collect_set(F.when(F.col("later"), F.col("at"))).alias("again"), F.collect_set("at").alias("repeated"))
     listed = listed.withColumnsRenamed({"doc_id": "doc_id2", "h": "h2"})
@@ -151,22 +146,3 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-
-
-def brute(docs: list[tuple[int, bytes]]) -> dict[int, tuple[int, str]]:
-    """n_removed and kept_sha256 by a plain scan in order; for tests with unique ids."""
-    first: dict[int, int] = {}
-    for i, t in sorted(docs):
-        for d in digests(t, borders(t)):
-            first.setdefault(d, i)
-    out = {}
-    for i, t in docs:
-        seen, again = set(), []
-        for k, d in enumerate(digests(t, borders(t))):
-            if d in seen or first[d] != i:
-                again.append(k)
-            seen.add(d)
-        spans = removed(t, again)
-        kept = b"".join(t[a:b] for a, b in zip([0, *[y for _, y in spans]], [*[x for x, _ in spans], len(t)], strict=True))
-        out[i] = sum(b - a for a, b in spans), hashlib.sha256(kept).hexdigest()
-    return out
