@@ -8,14 +8,21 @@ read a window of WINDOW words; attention pools their states; a logistic unit
 scores the window. A document is scored over all its windows, which overlap by
 WINDOW - STRIDE words, and takes the highest score. Texts are read whole.
 
-Training: a bounded, hash-ordered sample of at most MAX_FIT labelled rows of each
-class, of which at most MAX_FIT_CHARS characters are read, fitted on the driver
-with Adam. The highest-scoring window of a document carries its label.
+Training: a bounded sample of the labelled rows outside the held-out fold, in the
+order of a hash: at most MAX_FIT rows of each class, as long as their texts have
+MAX_FIT_BYTES together; a text is read whole or, where it does not fit any more,
+not at all. Fitted on the driver with Adam. In each step a document lends its
+label to one of its windows, drawn from all of them with odds that lean to the
+highest-scoring one more and more. Words and trigrams of fewer than MIN_DOCS
+documents of the sample are not learnt, nor are words that it lacks: their word
+vectors are zero.
 
 Null and empty texts get the score of an empty window. With fewer than two
 classes to learn from, every score is the smoothed share of label 1 (a quarter
 without any label, so that nothing is rejected on no evidence). Null
-labels are skipped; a document labelled twice gives a sample each time.
+labels are skipped; a label given again counts once, a document with both labels
+gives a sample of each. Repeated rows are scored alike, each; null ids too. Empty table: an empty result. Extra
+columns are handed on by ``score``, whatever their names, and ignored by the query.
 """
 
 from __future__ import annotations
@@ -34,8 +41,8 @@ WINDOW, STRIDE = 48, 36
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN, ATT = 6, 12, 8, 8
 MAX_FIT = {0: 4500, 1: 1500}
-MAX_FIT_CHARS = 12_000
-EPOCHS, MIN_STEPS, BATCH, BAG, RATE, DECAY = 5, 360, 64, 5, 0.01, 0.02
+MAX_FIT_BYTES = 48 << 20
+EPOCHS, MIN_STEPS, BATCH, SHARP, MIN_DOCS, RATE, DECAY = 5, 360, 64, 8, 10, 0.01, 0.02
 LONG = 40
 BLOCK = 1024  # windows scored at once
 CACHE = 150_000
@@ -85,7 +92,7 @@ class Model:
         r = np.random.default_rng(seed)
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         n = lambda *s, k=0.1: (r.standard_normal(s) * k).astype(f32)
-        self.p = {"we": n(WORD_ROWS, WORD_DIM), "ce": n(CHAR_ROWS, CHAR_DIM, k=0.3), "va": n(2 * h, ATT, k=0.3), "ua": n(ATT, k=0.3), "wo": n(2 * h, k=0.3), "bo": np.full(1, -1, f32)}
+        self.p = {"we": np.zeros((WORD_ROWS, WORD_DIM), f32), "ce": n(CHAR_ROWS, CHAR_DIM, k=0.03), "va": n(2 * h, ATT, k=0.3), "ua": n(ATT, k=0.3), "wo": n(2 * h, k=0.3), "bo": np.full(1, -1, f32)}
         for s in "fb":
             self.p |= {f"w{s}": n(d, 3 * h, k=0.4), f"u{s}": n(h, 3 * h, k=0.3), f"c{s}": np.zeros(3 * h, f32)}
         self.prior: float | None = None
@@ -194,6 +201,24 @@ def _fill(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
+def window_logits(model: Model, proj, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, logit) of all windows of these documents; docs: numbers into the rows of proj."""
+    starts = [windows(len(d)) for d in docs]
+    of = np.repeat(np.arange(len(docs)), [len(a) for a in starts])
+    at = np.concatenate([*starts, np.zeros(0, np.int64)])
+    base = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
+    flat = np.concatenate([*docs, np.zeros(1, np.int64)])
+    length = np.minimum(base[of + 1] - base[of] - at, WINDOW)
+    order = np.argsort(length, kind="stable")  # short windows together
+    out = np.empty(len(of), f32)
+    for i in range(0, len(order), BLOCK):
+        o = order[i : i + BLOCK]
+        t = np.arange(max(1, length[o].max()))[:, None]
+        mask = t < length[o]
+        out[o] = model.logits(flat[np.where(mask, base[of[o]] + at[o] + t, len(flat) - 1)], mask.astype(f32), proj)
+    return of, at, out
+
+
 def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
     model, y = Model(), np.array(labels, f32)
     if len(y) == 0 or y.min() == y.max():
@@ -202,40 +227,41 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
     words, rng = Words(), np.random.default_rng(seed)
     docs = [words.of(t) for t in texts]
     bucket, tri, start = words.features()
-    stop = np.append(start[1:], len(tri))
+    size = np.diff(np.append(start, len(tri)))
 
     def part(used: np.ndarray):
-        count = (stop - start)[used]
-        first = np.concatenate(([0], np.cumsum(count)[:-1]))
-        return bucket[used], tri[np.arange(count.sum()) + np.repeat(start[used] - first, count)], first
-
+        first = np.cumsum(size[used]) - size[used]
+        return bucket[used], tri[np.arange(size[used].sum()) + np.repeat(start[used] - first, size[used])], first
+
+    in_docs = np.zeros(WORD_ROWS, np.int64), np.zeros(CHAR_ROWS, np.int64)
+    for d in docs:
+        for count, found in zip(in_docs, part(np.unique(d)), strict=False):
+            count[np.unique(found)] += 1
+    rare = {k: count < MIN_DOCS for k, count in zip(("we", "ce"), in_docs, strict=True)}
+    model.p["ce"][rare["ce"]] = 0
     m1, m2, step = {k: np.zeros_like(v) for k, v in model.p.items()}, {k: np.zeros_like(v) for k, v in model.p.items()}, 0
-    rounds = max(EPOCHS, math.ceil(MIN_STEPS * BATCH / len(docs)))
-    total = rounds * math.ceil(len(docs) / BATCH)
+    batches = math.ceil(len(docs) / BATCH)
+    rounds = max(EPOCHS, math.ceil(MIN_STEPS / batches))
+    total = rounds * batches
     for _ in range(rounds):
         order = rng.permutation(len(docs))
         for i in range(0, len(docs), BATCH):
-            ids, owner, ys = [], [], y[order[i : i + BATCH]]
-            for k, j in enumerate(order[i : i + BATCH]):
-                at = windows(len(docs[j]))
-                for a in at if len(at) <= BAG else rng.choice(at, BAG, replace=False):
-                    ids.append(docs[j][a : a + WINDOW])
-                    owner.append(k)
-            used, flat = np.unique(np.concatenate(ids) if ids else np.zeros(0, np.int64), return_inverse=True)
-            cut = np.cumsum([len(x) for x in ids])[:-1]
-            ids = np.split(flat, cut)
+            own, ys = [docs[j] for j in order[i : i + BATCH]], y[order[i : i + BATCH]]
+            used, flat = np.unique(np.concatenate(own), return_inverse=True)
             if not len(used):
                 continue
+            own = np.split(flat, np.cumsum([len(d) for d in own])[:-1])
             feats = part(used)
             x = model.embed(feats)
-            logit = model.logits(*_fill(ids), model.project(x))
-            best: dict[int, int] = {}
-            for j, k in enumerate(owner):
-                if k not in best or logit[j] > logit[best[k]]:
-                    best[k] = j
-            g, _ = _grads(model, feats, x, *_fill([ids[best[k]] for k in range(len(ys))]), ys)
+            of, at, logit = window_logits(model, model.project(x), own)
+            # one window of each document is drawn from all, with odds that lean to the highest more and more
+            luck = SHARP * ((step + 1) / total) ** 3 * logit + rng.gumbel(size=len(logit))
+            best = np.lexsort((luck, of))[np.searchsorted(of, np.arange(len(own)), "right") - 1]
+            g, _ = _grads(model, feats, x, *_fill([own[k][a : a + WINDOW] for k, a in enumerate(at[best].tolist())]), ys)
             step += 1
             rate = RATE * (1 - 0.8 * step / total)
+            for k, skip in rare.items():
+                g[k][skip] = 0
             for k, v in g.items():
                 m1[k] += 0.1 * (v - m1[k])
                 m2[k] += 0.01 * (v * v - m2[k])
@@ -268,19 +294,9 @@ class Scorer:
             new = self.model.project(self.model.embed(self.words.features(since)))
             self.proj = tuple(np.concatenate(x) for x in zip(self.proj, new, strict=True))
         proj = self.proj if len(self.proj[0]) else tuple(np.zeros((1, 3 * HIDDEN), f32) for _ in range(2))
-        of = np.concatenate([np.full(len(windows(len(d))), i) for i, d in enumerate(docs)]) if docs else np.zeros(0, int)
-        at = np.concatenate([windows(len(d)) for d in docs]) if docs else np.zeros(0, int)
-        base = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
-        flat = np.concatenate([*docs, np.zeros(1, np.int64)])
-        length = np.minimum(base[of + 1] - base[of] - at, WINDOW)
-        order = np.argsort(length, kind="stable")  # short windows together
         best = np.full(len(docs), -np.inf)
-        for i in range(0, len(order), BLOCK):
-            o = order[i : i + BLOCK]
-            t = np.arange(max(1, length[o].max()))[:, None]
-            mask = t < length[o]
-            ids = flat[np.where(mask, base[of[o]] + at[o] + t, 0)]
-            np.maximum.at(best, of[o], self.model.logits(np.where(mask, ids, 0), mask.astype(f32), proj))
+        of, _, logit = window_logits(self.model, proj, docs)
+        np.maximum.at(best, of, logit)
         return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
@@ -291,12 +307,21 @@ def held_out():
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from at most MAX_FIT rows of each class outside the held-out fold."""
     chosen = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).select("doc_id", "toxic")
-    order = F.xxhash64("doc_id")
-    picked = [chosen.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(MAX_FIT[k]) for k in (0, 1)]
+    picked = [chosen.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT[k]) for k in (0, 1)]
     both = F.broadcast(picked[0].union(picked[1]))  # of bounded size
-    rows = docs.select("doc_id", F.substring("text", 1, MAX_FIT_CHARS).alias("text")).join(both, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "toxic").limit(2 * sum(MAX_FIT.values())).collect()
-    return train([(r.text or "").encode() for r in rows], [r.toxic for r in rows])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(both, "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    # the sample by its keys first, then the texts of those that fit
+    keys = rows.select("doc_id", "toxic", "h", F.octet_length("text").alias("size")).distinct().orderBy("h", "toxic").limit(2 * sum(MAX_FIT.values())).collect()
+    room, taken = MAX_FIT_BYTES, []
+    for r in keys:
+        if r["size"] <= room:
+            room -= r["size"]
+            taken.append((r.h, r.toxic))
+    if not taken:
+        return train([], [])
+    own = docs.sparkSession.createDataFrame(taken, "h long, toxic long").withColumnRenamed("toxic", "label")
+    found = rows.join(F.broadcast(own), [rows.h == own.h, rows.toxic == own.label]).select(rows.h, "toxic", "text").dropDuplicates(["h", "toxic"]).orderBy("h", "toxic").collect()
+    return train([r.text.encode() for r in found], [int(r.toxic) for r in found])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
