@@ -2,18 +2,23 @@
 
 Base kinds (email, ip, card, phone) are found leftmost and non-overlapping for
 each kind and validated; a match that fails is dropped without a retry. Added
-kinds: ``iban`` (mod-97) and ``ssn`` (a number of the form 3-2-4 that counts
-only near a context word). A span's score is the kind's prior, raised by
-context words within CONTEXT characters; base spans always stay.
+kinds: ``iban`` (mod-97), ``ssn`` (a number of the form 3-2-4) and ``secret`` (a
+run of MIN_SECRET or more letters, digits and ``_+/-`` with both letters and digits
+and an entropy of MIN_ENTROPY bits a character). A span's score is the kind's
+prior, raised by context words within CONTEXT characters. Added spans count from
+KEEP on, so ssn and secret need a context word; base spans always stay.
 
 Null text is empty and has no spans. Texts are scanned whole; every pattern is
-linear in the text. Repeated rows each get a row; extra columns are ignored.
+linear in the text. Repeated rows each get a row, null ids too; extra columns are
+ignored by ``detect`` and handed on by ``redact``, whatever their names. Empty
+table: an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import merge_spans
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 CONTEXT = 48
 KEEP = 0.5
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
 HINTS = {
     "email": re.compile(r"\b(?:e-?mail|contact|write|mailto)\b", re.I),
     "ip": re.compile(r"\b(?:ip|host|server|address)\b", re.I),
@@ -34,7 +39,9 @@ HINTS = {
     "phone": re.compile(r"\b(?:phone|tel|call|mobile|fax)\b", re.I),
     "iban": re.compile(r"\b(?:iban|account|bank|konto|compte|cuenta)\b", re.I),
     "ssn": re.compile(r"\b(?:ssn|social security|tax id)\b", re.I),
+    "secret": re.compile(r"(?<![a-z])(?:token|secret|password|passwd|pwd|(?:api|access|private)[ _-]?key|credentials?|bearer)(?![a-z])", re.I),
 }
+MIN_SECRET, MIN_ENTROPY = 20, 3.0
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A lookbehind keeps a long digit run from being tried at each of its digits; a start inside a run never matches where the run's own start failed.
@@ -43,6 +50,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{%d,}" % MIN_SECRET)
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -55,6 +63,18 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def entropy(text: str) -> float:
+    """Bits a character, by the characters' shares of the text."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for m in SECRET.finditer(text):
+        v = m[0]
+        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= MIN_ENTROPY:
+            yield m.span()
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     done = 0
     for m in DOMAIN.finditer(text):
@@ -108,6 +128,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
                 spans.append(("iban", *m.span()))
         if "-" in text:
             spans += [("ssn", *m.span()) for m in SSN.finditer(text)]
+        spans += [("secret", *s) for s in _secrets(text)]
     scored = [(k, a, b, score(k, text, a, b)) for k, a, b in spans]
     kept = [s for s in scored if s[0] in BASE or s[3] >= KEEP]
     return sorted(kept, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -153,13 +174,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans, their scores in the same order, and the counts by kind."""
     found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("iban"), count("ssn"))
-
-
-def digest(text: str | None) -> str:
-    """base_sha256 of one text, for tests."""
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in find(text) if k in BASE).encode()).hexdigest()
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s.score, 2)), ",").alias("scores")
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores, *[count(k) for k in KINDS[4:]])
