@@ -9,18 +9,22 @@
    is all that the driver gets.
 3. Quantiles of the sample are the boundaries of many small ranges. Ranges
    found to hold over twice their share are sampled again and subdivided.
-4. Consecutive ranges are dealt to shards by their exact bytes; slots are the
-   rank inside the range plus the rows of the shard's earlier ranges.
+4. Ranges are dealt to shards by their exact bytes, the largest first, each to
+   the shard that has the least so far; slots are the rank inside the range plus
+   the rows of the shard's earlier ranges.
 
-Law: ``bytes``. Each shard differs from the mean by a small part of a range or
-by one document where a document is larger than that.
+Law: ``bytes``. No shard has more than the mean and one range, and a range is
+either a small part of a shard or a single document.
 
-Null text: 16 bytes, crc32 of no bytes (0). Repeated rows each get a slot.
-Empty table: an empty result. Extra columns are ignored.
+Null text: 16 bytes, crc32 of no bytes (0). Repeated rows, and rows without an id,
+each get a slot. Empty table: an empty result. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,6 +44,11 @@ def _uniform(seed: int):
     return (F.pmod(F.xxhash64("k2", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table, as a literal in the plan."""
+    return spark.sql(f"SELECT inline(from_json(:rows, 'array<struct<{schema}>>'))", args={"rows": json.dumps(rows)})
+
+
 def _with_range(keys: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     """Adds ``rid``, the number of splitters at or below the row's key.
 
@@ -56,15 +65,15 @@ def _with_range(keys: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     rows = []
     for b in range(-2048, 2048):
         lo, hi = bisect_right(splitters, ((b << 52) - 1, 1 << 63)), bisect_right(splitters, (((b + 1) << 52) - 1, 1 << 63))
-        rows.append((b, None, lo, splitters[lo:hi]))
+        rows.append((b, None, lo, lo, hi))
     for h, bits in hot.items():
         for b in range(-(1 << bits - 1), 1 << bits - 1):
             width = 64 - bits
             lo = bisect_right(splitters, (h, (b << width) - 1))
             hi = bisect_right(splitters, (h, ((b + 1) << width) - 1))
-            rows.append((h, b, lo, splitters[lo:hi]))
-    near = spark.createDataFrame(rows, "c1 long, c2 long, base int, cuts array<struct<h:long,k2:long>>")
-    bits = spark.createDataFrame([(h, b) for h, b in hot.items()], "h long, bits int")
+            rows.append((h, b, lo, lo, hi))
+    near = _table(spark, [{"c1": c1, "c2": c2, "base": base, "cuts": [{"h": h, "k2": k} for h, k in splitters[lo:hi]]} for c1, c2, base, lo, hi in rows], "c1:bigint,c2:bigint,base:int,cuts:array<struct<h:bigint,k2:bigint>>")
+    bits = _table(spark, [{"h": h, "bits": b} for h, b in hot.items()], "h:bigint,bits:int")
     if hot:
         keys = keys.join(F.broadcast(bits), "h", "left")
     else:
@@ -126,13 +135,14 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
         if set(finer) <= set(splitters):
             break
         splitters = sorted({*splitters, *finer})
-    placed, done, rows_in = [], 0, [0] * shards
-    for i in sorted(held):
-        to = min(shards - 1, int(shards * (done + held[i]["bytes"] / 2) / total))
-        placed.append((i, to, rows_in[to]))
+    placed, rows_in = [], [0] * shards
+    least = [(0, k) for k in range(shards)]  # bytes so far
+    for i in sorted(held, key=lambda i: (-held[i]["bytes"], i)):
+        size, to = heapq.heappop(least)
+        heapq.heappush(least, (size + held[i]["bytes"], to))
+        placed.append({"rid": i, "shard": to, "first": rows_in[to]})
         rows_in[to] += held[i]["rows"]
-        done += held[i]["bytes"]
-    place = spark.createDataFrame(placed, "rid int, shard int, first long")
+    place = _table(spark, placed, "rid:int,shard:int,first:bigint")
     rank = F.row_number().over(Window.partitionBy("rid").orderBy("h", "k2"))
     out = ranged.withColumn("rank", rank).join(F.broadcast(place), "rid")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
