@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir. Where the session
-    names none (tests, notebooks on one machine) a local one is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
+    names none, a session within one process gets a local one; on a cluster
+    that is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quill-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -27,25 +28,32 @@ class Shelf:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
     A written table cuts the lineage: a lost executor costs only the tasks of
-    the stage at hand. ``drop`` deletes a table that nothing reads any more.
+    the stage at hand. ``drop`` deletes a table that nothing reads any more; what
+    a lazy result still reads goes when the session's process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = f"{self.root}/{self.n:04d}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._quill_path = path
+        name = f"{self.root}/{self.n:04d}"
+        df.write.parquet(name)
+        if self.n == 1:
+            path, files = self._path(self.root)
+            files.deleteOnExit(path)
+        out = self.spark.read.schema(df.schema).parquet(name)
+        out._quill_path = name
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._quill_path)
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._path(table._quill_path)
+            files.delete(path, True)
 
 
 def free(name: str, taken: list[str]) -> str:
