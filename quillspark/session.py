@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,5 +25,6 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path(root.name, p.relative_to(root))))
     with tempfile.NamedTemporaryFile(prefix="quillspark-", suffix=".zip", delete=False) as f:
         f.write(data.getvalue())
+    atexit.register(lambda: os.path.exists(f.name) and os.unlink(f.name))  # executors fetch it until then
     sc.addPyFile(f.name)
     sc._quillspark_shipped = True
