@@ -14,4 +14,4 @@ QUERIES = {
     "op9_token_file": tokenfile.op9_token_file,
     "op10_suffix_array": suffixes.op10_suffix_array,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_quality_rules": quality.SQL, "op8_decontaminate": decontaminate.SQL}

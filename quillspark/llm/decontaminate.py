@@ -17,12 +17,13 @@ The items reach the tasks in blocks of at most BLOCK_BYTES, broadcast one by
 one; a larger benchmark takes more blocks over the same row-local plan.
 
 Null texts have no words. Items without words or id are no windows or aren't
-named. Repeated rows each get a row; repeated item_ids count once.
+named. Repeated rows and null ids each get a row; repeated item_ids count once.
+Extra columns are ignored by the query and handed on by ``remove``, whatever their
+names. Empty table: an empty result; empty benchmark: nothing is hit.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -282,22 +283,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def brute(texts: list[bytes], items: list[tuple[str, bytes]]) -> list[tuple[int, int, int, str]]:
-    """(n_words, n_hit, n_items, items_sha256) by trying every place; for tests."""
-    windows = []
-    for name, t in items:
-        w = words_of(t)
-        windows += [(name, tuple(w[i : i + WINDOW])) for i in range(max(1, len(w) - WINDOW + 1) if w else 0)]
-    out = []
-    for t in texts:
-        w, hit, got = words_of(t), set(), set()
-        for m in {len(x) for _, x in windows}:
-            where: dict[tuple, list[int]] = {}
-            for i in range(len(w) - m + 1):
-                where.setdefault(tuple(w[i : i + m]), []).append(i)
-            for name, x in windows:
-                if len(x) == m and x in where:
-                    got.add(name)
-                    hit.update(i + j for i in where[x] for j in range(m))
-        out.append((len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest()))
-    return out
+#: The same in DuckDB: windows as rows, joined by their words.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM benchmark),
+items AS (SELECT DISTINCT item, m, array_to_string(t[i:i+m-1], ' ') AS k FROM (SELECT item, t, least(len(t), 10) AS m, unnest(range(1, greatest(len(t) - 9, 1) + 1)) AS i FROM b WHERE len(t) > 0)),
+sizes AS (SELECT DISTINCT m FROM items),
+places AS (SELECT r, m, i, array_to_string(t[i:i+m-1], ' ') AS k FROM (SELECT r, t, m, unnest(range(1, len(t) - m + 2)) AS i FROM d, sizes WHERE len(t) >= m)),
+found AS (SELECT r, i, places.m, item FROM places JOIN items ON places.k = items.k AND places.m = items.m),
+hits AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + m)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY r)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""

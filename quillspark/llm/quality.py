@@ -8,7 +8,8 @@ fails the base rules: under MIN_WORDS words, or over MAX_REPEAT per cent of its
 words in 5-word windows found twice or more.
 
 Null text is empty: no words, so it fails. Texts are read whole, each in time
-linear in its length (n log n for the windows). Repeated rows each get a row.
+linear in its length (n log n for the windows). Repeated rows and null ids each get
+a row; extra columns are ignored, whatever their names. Empty table: an empty result.
 """
 
 from __future__ import annotations
@@ -126,3 +127,43 @@ def rules(docs: DataFrame) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("cleaned")
+
+
+#: The same in DuckDB: words, lines and windows as rows.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT r, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS t FROM d),
+base AS (SELECT r, doc_id, len(t) AS n, coalesce(list_sum(list_transform(t, lambda v: length(v))), 0) AS chars, len(regexp_extract_all(x, '[#*$%&|<>]')) AS symbols FROM w),
+windows AS (SELECT r, i, array_to_string(t[i:i+4], ' ') AS k FROM (SELECT r, t, unnest(range(1, len(t) - 3)) AS i FROM w WHERE len(t) > 4)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM windows) WHERE c > 1),
+repeats AS (SELECT r, count(DISTINCT p) AS repeat FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
+lines AS (SELECT r, i, s[i] AS line FROM (SELECT r, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT r, string_split(x, chr(10)) AS s FROM d))),
+worded AS (SELECT r, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS t FROM lines),
+counted AS (
+  SELECT r, line, t, len(t) AS n, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again,
+    len(list_filter(t, lambda v: v IN ('|', '>', '<', '/', '-', '*', '»', '•', '·'))) AS bars,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '!!')) AS marks,
+    len(list_filter(range(1, len(t)), lambda j: t[j] = t[j + 1])) AS stammers, len(regexp_extract_all(line, '[A-Z]')) AS capitals
+  FROM worded WHERE len(t) > 0
+),
+judged AS (
+  SELECT r, again, list_sum(list_transform(t, lambda v: length(v))) AS chars, again
+    OR (n <= 2 AND NOT regexp_matches(line, '([.!?:;,)"''\]]|[^\x00-\x7F])[\x20\x09-\x0D]*$'))
+    OR (n >= 3 AND bars >= 2 AND 5 * bars >= n)
+    OR (symbols >= 3 AND 12 * symbols >= strlen(line))
+    OR (marks >= 3 AND 3 * marks >= n)
+    OR (n >= 6 AND 2 * stammers >= n)
+    OR (n <= 40 AND regexp_matches(line, '(?i)BOILERPLATE'))
+    OR (n >= 6 AND NOT regexp_matches(line, '[a-z]') AND 2 * capitals > strlen(line)) AS gone
+  FROM counted
+),
+lost AS (SELECT r, count(*) FILTER (again) AS again, count(*) FILTER (gone) AS gone, coalesce(sum(chars) FILTER (gone), 0) AS chars FROM judged GROUP BY r),
+summed AS (
+  SELECT base.*, coalesce(repeat, 0) AS repeat, coalesce(lost.again, 0) AS again, coalesce(lost.gone, 0) AS gone, coalesce(lost.chars, 0) AS lost,
+    base.n < 10 OR 100 * coalesce(repeat, 0) > 20 * base.n AS failed
+  FROM base LEFT JOIN repeats USING (r) LEFT JOIN lost USING (r)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(again AS BIGINT) AS n_dup_lines, CAST(repeat AS BIGINT) AS n_repeat_words,
+  failed AS base_failed, NOT failed AND chars - lost >= 0.5 * chars AS kept, CAST(gone AS BIGINT) AS n_lines_removed
+FROM summed
+""".replace("BOILERPLATE", BOILERPLATE.pattern.decode())
