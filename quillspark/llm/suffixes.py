@@ -28,8 +28,6 @@ an empty result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -387,19 +385,3 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
-
-
-def brute(texts: list[bytes], length: int) -> list[tuple[int, int, str]]:
-    """(n_removed, n_spans, kept_sha256) of each text by a table of all windows; for tests."""
-    count: dict[bytes, int] = {}
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            count[t[i : i + length]] = count.get(t[i : i + length], 0) + 1
-    out = []
-    for t in texts:
-        gone = np.zeros(len(t), bool)
-        for i in range(len(t) - length + 1):
-            if count[t[i : i + length]] > 1:
-                gone[i : i + length] = True
-        out.append((int(gone.sum()), len(runs_of(gone)), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
-    return out

@@ -269,7 +269,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Model:
                     model.p[k] *= f32(1 - rate * DECAY)
                 scale = m2[k]
                 if k in ("we", "ce"):  # one scale for all rows, or rare words would be learnt by heart
-                    scale = scale.sum() / np.count_nonzero(scale)
+                    scale = scale.sum() / max(1, np.count_nonzero(scale))
                 model.p[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(scale / (1 - 0.99**step)) + 1e-8)).astype(f32)
     return model
 

@@ -1,8 +1,9 @@
-"""Every operator against a plain version, with nulls, empties, ties, repeats and clashing names."""
+"""The operators' functions against plain versions. Their queries: test_queries.py."""
 
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import plain_versions as plain
 from quillspark.llm import chunks, decontaminate, pii, quality, sharding, simhash, suffixes, tokenfile, toxicity, wfst
 
 random.seed(4)
@@ -51,7 +53,7 @@ def test_sharding(spark, docs, empty):
         slots.setdefault(r.shard, []).append((r.slot, r["size"]))
     sizes = [sum(s for _, s in v) for v in slots.values()]
     assert all(sorted(s for s, _ in v) == list(range(len(v))) for v in slots.values())
-    assert max(sizes) - min(sizes) <= 2 * (max(map(len, B)) + 16)
+    assert max(sizes) - min(sizes) <= max(map(len, B)) + 16 and max(sizes) <= sum(sizes) / 5 + max(map(len, B)) + 16
     assert sorted((r["size"], r.text_crc32) for r in out) == sorted((len(b) + 16, zlib.crc32(b)) for b in B * 60)
     assert sharding.shard(empty, 5).collect() == []
 
@@ -68,6 +70,9 @@ def test_pii(docs, empty):
                     want.append((k, *m.span()))
         assert sorted(want) == sorted((s.kind, s.start, s.end) for s in got[i].spans if s.kind in pii.BASE)
     assert {s.kind for s in got[13].spans} == {"email", "ip", "phone", "card", "iban"} and got[14].spans == []
+    key = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    assert [s[:3] for s in pii.find(f'x token = "{key}" y')] == [("secret", 11, 51)] and pii.find(f"see {key} there") == [] and pii.find("the token abcdefghijklmnopqrstuvwxyz token") == []
+    assert pii.mask(f"API_KEY={key}") == "API_KEY=[SECRET]" and [s[0] for s in pii.find("ssn 123-45-6789")] == ["ssn"] and pii.find("no 123-45-6789") == []
     masked = by_id(pii.redact(docs))
     assert masked[5].text is None and "[CARD]" in masked[13].text and masked[0].text == TEXTS[0]
     assert pii.detect(empty).collect() == []
@@ -158,6 +163,40 @@ def test_long_words():
     assert np.mean([(s >= 0.5) == i % 2 for i, s in enumerate(got)]) > 0.9
 
 
+def test_fit_reads_whole_texts(spark, monkeypatch):
+    """The sample has whole texts, each label once, none of the held-out fold, and none over the bound on bytes."""
+    text = "a " * 9000 + "end"
+    rows = [(i, text if i % 2 else f"short {i}") for i in range(40)] + [(1, text), (2, None)]
+    labels = [(i, i % 2) for i in range(40)] * 2 + [(None, 1), (3, None), (4, 7)]
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got: list = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: got.append(sorted(zip(texts, labels, strict=True))))
+    toxicity.fit(*frames)
+    own = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert got[0] == sorted([((text if i % 2 else f"short {i}").encode(), i % 2) for i in own] + [(b"", 0)] * (2 in own))
+    monkeypatch.setattr(toxicity, "MAX_FIT_BYTES", 1000)
+    toxicity.fit(*frames)
+    assert got[1] == [x for x in got[0] if x[1] == 0]
+
+
+def test_few_labels_few_steps(monkeypatch):
+    steps, real = [], toxicity._grads
+    monkeypatch.setattr(toxicity, "_grads", lambda *a: steps.append(1) or real(*a))
+    toxicity.train([b"one two", b"three four"], [0, 1])
+    assert len(steps) == toxicity.MIN_STEPS
+    assert toxicity.train([b"", b" "], [0, 1]).prior is None  # no word to learn from
+
+
+def test_all_windows():
+    """Every window takes part in the choice, also those of a long text."""
+    words = toxicity.Words()
+    docs = [words.of(prose(n).encode()) for n in (0, 3, 48, 49, 700)]
+    model = toxicity.Model()
+    of, at, logit = toxicity.window_logits(model, model.project(model.embed(words.features())), docs)
+    assert [at[of == i].tolist() for i in range(5)] == [toxicity.windows(len(d)).tolist() for d in docs] and at.max() + toxicity.WINDOW >= 700
+    assert np.isfinite(logit).all()
+
+
 def test_gradients():
     model = toxicity.Model(1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
@@ -179,7 +218,7 @@ def test_gradients():
 
 def test_chunks(docs, empty):
     got = by_id(chunks.dedup(docs))
-    want = chunks.brute(list(enumerate(B)))
+    want = plain.chunks(list(enumerate(B)))
     assert {i: (r.n_removed, hashlib.sha256(r.kept).hexdigest()) for i, r in got.items()} == want
     assert got[1].n_removed == len(B[1]) and got[0].n_removed == 0 and got[4].n_removed > 150
     shifted = b"zz" + B[10]
@@ -187,6 +226,38 @@ def test_chunks(docs, empty):
     assert chunks.dedup(empty).collect() == []
 
 
+def test_borders_are_local(monkeypatch):
+    """Borders are those of a plain scan; what stands far off doesn't change them, nor do the pieces of the scan."""
+    head = b"ab" * 300 + prose(300).encode()
+    for t in (*B, head, b"a" * 3000, b"la " * 500, b"ab"):
+        assert chunks.borders(t).tolist() == plain.borders(t)
+    alone = chunks.borders(head)
+    for far in (b"x" * 3000, b"xy" * 2000, prose(100).encode()):
+        both = chunks.borders(head + far)
+        assert set(alone[alone < len(head) - 100]) <= set(both.tolist())
+    want = [chunks.borders(t).tolist() for t in (*B, head)]
+    monkeypatch.setattr(chunks, "PIECE", 150)
+    assert [chunks.borders(t).tolist() for t in (*B, head)] == want
+
+
+def test_pieces(monkeypatch):
+    """Texts longer than a piece: the same fingerprint, and equal windows have equal names."""
+    t = (prose(300) + " " + PASSAGE + " " + prose(200) + " " + PASSAGE).encode()
+    want = simhash.fingerprint(t)
+    monkeypatch.setattr(simhash, "PIECE", 37)
+    assert simhash.fingerprint(t) == want
+    monkeypatch.setattr(suffixes, "PIECE", 500)
+    for k in (32, 41, 77, 80):
+        of, names = {}, np.zeros(len(t) - 79, np.uint64)
+        cover = np.zeros(len(t) - 79, int)
+        for name, a, e, _ in zip(*suffixes.segments(t, 80, k), strict=True):
+            names[a:e] = name
+            cover[a:e] += 1
+        assert (cover == 1).all()
+        for i, n in enumerate(names.tolist()):
+            assert of.setdefault(t[i : i + 80], n) == n
+
+
 def test_chunks_short(spark):
     """Short exact copies go whole, each of these passages of 51 words in part; ends that are alike by chance stay."""
     rng = random.Random(8)
@@ -224,6 +295,38 @@ def test_sentencepiece(docs, empty):
     assert all(r.round_trip for r in got.values()) and got[5].n_pieces == 0 and wfst.encode(empty).collect() == []
 
 
+def _message(n: int, v) -> bytes:
+    """A field of a protocol buffer message."""
+    varint = lambda x: bytes([x]) if x < 128 else bytes([x & 127 | 128]) + varint(x >> 7)
+    if isinstance(v, int):
+        return varint(n << 3) + varint(v)
+    if isinstance(v, float):
+        return varint(n << 3 | 5) + struct.pack("<f", v)
+    v = v.encode() if isinstance(v, str) else v
+    return varint(n << 3 | 2) + varint(len(v)) + v
+
+
+@pytest.mark.parametrize("mapped", [False, True])
+def test_unigram_models(tmp_path, mapped):
+    """Unigram models written by hand, with and without a character map, byte fallback, prefix and squeezing, against the library."""
+    sp = pytest.importorskip("sentencepiece")
+    rng = random.Random(1)
+    table = dict(wfst._fields(dict(wfst._fields(sp.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]))[2] if mapped else b""
+    for fallback in (0, 1):
+        for prefix, squeeze in ((0, 0), (1, 1)) if mapped else ((0, 0), (0, 1), (1, 0), (1, 1)):
+            vocab = sorted({rng.choice(["", "▁"]) + "".join(rng.choices("abc" if rng.random() < 0.7 else "ab▁c日é.", k=rng.randint(1, 4))) for _ in range(60)})
+            pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), *[(f"<0x{i:02X}>", -30.0, 6) for i in range(256 * fallback)], *[(v, -rng.randint(8, 80) / 8, 1) for v in vocab]]
+            data = b"".join(_message(1, _message(1, p) + _message(2, s) + _message(3, k)) for p, s, k in pieces)
+            data += _message(2, _message(3, 1) + _message(35, fallback)) + _message(3, _message(2, table) + _message(3, prefix) + _message(4, squeeze))
+            path = tmp_path / f"{fallback}{prefix}{squeeze}.model"
+            path.write_bytes(data)
+            library, machine = sp.SentencePieceProcessor(model_file=str(path)), wfst.Transducer(str(path))
+            for _ in range(200):
+                x = "".join(rng.choices("aabbccé日  .\t\nＡ①x▁é́ﬁ", k=rng.randint(0, 25)))
+                ids = library.encode(x)
+                assert machine.encode(x).tolist() == ids and machine.decode(ids) == library.decode(ids)
+
+
 def test_quality(docs, empty):
     got = by_id(quality.rules(docs))
     for i, t in enumerate(B):
@@ -245,7 +348,7 @@ def test_quality(docs, empty):
 def test_decontaminate(spark, docs, empty):
     items = [("1", " ".join(PASSAGE.upper().split()[20:45])), ("2", "zzz qqq"), ("10", "a"), ("3", None), ("4", "!!"), ("1", PASSAGE)]
     bench = spark.createDataFrame([(int(i), t) for i, t in items], "item_id long, text string")
-    want = decontaminate.brute(B, [(i, (t or "").encode()) for i, t in items])
+    want = plain.decontaminate(B, [(i, (t or "").encode()) for i, t in items])
     for block in (decontaminate.BLOCK_BYTES, 100):
         decontaminate.BLOCK_BYTES, old = block, decontaminate.BLOCK_BYTES
         got = by_id(decontaminate.scan(docs, bench))
@@ -275,14 +378,13 @@ def test_token_file(spark, docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = by_id(tokenfile.read(tokenfile.write(docs, path, tokenfile.Shelf(spark, "test"))))
     at = 0
     for i, x in enumerate(TEXTS):
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
         assert tuple(got[i]) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    encode = tokenfile.Encoder(path)
+    encode = tokenfile.Encoder(path, True)
     odd = ["", " ", "a  b", "foo \n bar", "foo\n \nbar", "don't 's it''s x.'s", " lead", "trail ", "a\nb", "<|endoftext|>", "é日 ok!!", *["".join(random.choices("ab  \n\t'sé日1.", k=15)) for _ in range(200)]]
     for _ in range(3):
         assert encode(odd) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(odd, add_special_tokens=False)]
@@ -312,7 +414,7 @@ def test_token_file_added(spark):
 @pytest.mark.parametrize("length,hot", [(400, suffixes.HOT), (60, 3)])
 def test_suffixes(docs, empty, length, hot):
     got = by_id(suffixes.dedup(docs, length, hot))
-    want = suffixes.brute(B, length)
+    want = plain.suffixes(B, length)
     assert [(r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for _, r in sorted(got.items())] == want
     assert suffixes.dedup(empty, length).collect() == []
 
