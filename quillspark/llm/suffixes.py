@@ -363,7 +363,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     spans = spans.select("t1", "t2", F.transform("spans", lambda s: F.struct((F.col("a") + s.a).alias("a"), (F.col("a") + s.b - 1 + length).alias("b"))).alias("spans"))
     # one row for each text that loses bytes; a text that stands in several rows loses all
     spans = spans.withColumn("copied", F.lit(False)).unionByName(counted.withColumn("copied", F.lit(True)), allowMissingColumns=True)
-    spans = spans.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.max("copied").alias("copied"))
+    # as a table of its own, so that the join has plain shuffles on both sides and a text of very many rows can be split
+    spans = shelf.put(spans.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.max("copied").alias("copied")))
     both = keyed.join(spans, ["t1", "t2"], "left")
 
     def drop(batches):
