@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from heapq import heapify, heappop, heappush
 
 MARK = "▁"
 WORDPIECE = re.compile(r"\w+|[^\w\s]", re.UNICODE)
@@ -14,7 +15,8 @@ def train_bpe(counts: dict[str, int], vocabulary_size: int) -> list[tuple[str, s
     """Merges learnt from words (each with MARK before it) and their counts.
 
     The most frequent pair is merged first; of equals the one that sorts first.
-    Pairs are recounted only in the words that a merge changes.
+    Pairs are recounted only in the words that a merge changes, and wait in a
+    heap, where an entry whose count has changed since is passed over.
     """
     words = {w: list(w) for w in counts}
     where: dict[tuple[str, str], set[str]] = defaultdict(set)
@@ -23,24 +25,30 @@ def train_bpe(counts: dict[str, int], vocabulary_size: int) -> list[tuple[str, s
         for p in zip(s, s[1:], strict=False):
             pairs[p] += counts[w]
             where[p].add(w)
+    heap = [(-n, p) for p, n in pairs.items()]
+    heapify(heap)
     merges, size = [], len({c for w in words for c in w})
-    while size < vocabulary_size and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] < 1:
-            break
+    while size < vocabulary_size and heap:
+        n, best = heappop(heap)
+        if pairs[best] != -n or not n:
+            continue
         merges.append(best)
         size += 1
+        changed = set()
         for w in sorted(where.pop(best, ())):
             s = words[w]
             for p in zip(s, s[1:], strict=False):
                 pairs[p] -= counts[w]
-                if pairs[p] <= 0:
-                    del pairs[p]
                 where[p].discard(w)
+                changed.add(p)
             s = words[w] = merge(s, best)
             for p in zip(s, s[1:], strict=False):
                 pairs[p] += counts[w]
                 where[p].add(w)
+                changed.add(p)
+        for p in changed:
+            if pairs[p] > 0:
+                heappush(heap, (-pairs[p], p))
     return merges
 
 

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrow
+
+#: Vocabularies up to this size may stand as literals in a plan.
+LITERALS = 200
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['\x{2019}.][\p{L}\p{M}\p{N}_]+)*"
 BLANK = r"[\t\n\f\r\p{Z}]"
 
@@ -84,18 +88,19 @@ def _empty_if_null(x: Column) -> Column:
     return F.coalesce(x, F.array().cast("array<string>"))
 
 
-#: Penn Treebank rules as published for its tokenizer, in order: (pattern, replacement).
+#: Penn Treebank rules as published for its tokenizer, in order: (pattern, replacement). A quotation mark at the start of a text
+#: comes under the first one, as a blank is put before it.
 PTB = [
-    (r'^"', "`` "), (r'([ (\[{<])"', "$1`` "), (r"\.\.\.", " ... "), (r"[,;:@#$%&]", " $0 "), (r"([^.])([.])([\])}>\"']*)\s*$", "$1 $2$3 "), (r"[?!]", " $0 "),
+    (r'([ (\[{<])"', "$1`` "), (r"\.\.\.", " ... "), (r"[,;:@#$%&]", " $0 "), (r"([^.])([.])([\])}>\"']*)\s*$", "$1 $2$3 "), (r"[?!]", " $0 "),
     (r"[\]\[(){}<>]", " $0 "), (r"--", " -- "), (r'"', " '' "), (r"([^'])' ", "$1 ' "), (r"'([sSmMdD]) ", " '$1 "), (r"'(ll|LL|re|RE|ve|VE) ", " '$1 "), (r"n't ", " n't "), (r"N'T ", " N'T "),
     (r"(?i)\b(can)(not)\b", "$1 $2"), (r"(?i)\b(d)('ye)\b", "$1 $2"), (r"(?i)\b(gim|lem)(me)\b", "$1 $2"), (r"(?i)\b(gon|wan)(na)\b", "$1 $2"), (r"(?i)\b(got)(ta)\b", "$1 $2"), (r"(?i)'(t)(is|was)\b", "'$1 $2"),
 ]
 
 
-def ptb(x: Column, lowercase: bool = True) -> Column:
+def ptb(x: Column, lowercase: bool = False) -> Column:
     x = F.concat(F.lit(" "), F.lower(x) if lowercase else x, F.lit(" "))
     for pattern, to in PTB:
-        x = F.regexp_replace(x, pattern.replace(r"^\"", r"^ \""), to)
+        x = F.regexp_replace(x, pattern, to)
     return regex(F.trim(x), r"\s+")
 
 
@@ -127,8 +132,39 @@ def ngrams(t: Column, n: int = 3, n_min: int | None = None, delim: str = "_") ->
     return bind(_empty_if_null(t), lambda t: F.concat(*[of(t, k) for k in range(n_min, n + 1)]))
 
 
-def keep_tokens(t: Column, kept: list[str]) -> Column:
-    return F.filter(_empty_if_null(t), lambda x: x.isin(kept)) if kept else F.array().cast("array<string>")
+def _starts(s: Column) -> Column:
+    """Where each run of equal elements of a sorted array begins."""
+    at = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(at, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+
+def runs(t: Column) -> Column:
+    """The different elements of an array and how often each stands in it, as structs (token, n); nulls don't count.
+
+    By sorting: n log n in one row, without a shuffle.
+    """
+    length = lambda s, at, i, k: (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long")
+    of = lambda s: bind(_starts(s), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), length(s, at, i, k).alias("n"))))
+    return bind(F.sort_array(F.filter(_empty_if_null(t), lambda x: x.isNotNull())), of)
+
+
+def bucket_sums(t: Column, num_terms: int, signed: bool, scheme: str) -> Column:
+    """The buckets of an array's tokens and the sums of their signs (counts, if not signed), as structs (bucket, value)."""
+    if scheme == "md5":  # the digest is computed once for each different token
+        pair = lambda r: bind(F.md5(r.token), lambda h: F.struct(_md5_bucket(h, num_terms).alias("bucket"), (r.n * (_md5_sign(h) if signed else 1)).alias("v")))
+    else:
+        pair = lambda r: F.struct(bucket(r.token, num_terms, scheme).alias("bucket"), (r.n * (sign(r.token, scheme) if signed else 1)).alias("v"))
+    begins = lambda p: F.filter(F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(p, i).bucket != F.get(p, i - 1).bucket))
+    total = lambda p, at, i, k: F.aggregate(F.slice(p, i + 1, F.coalesce(F.get(at, k + 1), F.size(p)) - i), F.lit(0).cast("long"), lambda a, x: a + x.v)
+    of = lambda p: bind(begins(p), lambda at: F.transform(at, lambda i, k: F.struct(F.get(p, i).bucket.alias("bucket"), total(p, at, i, k).alias("value"))))
+    return bind(F.sort_array(F.transform(runs(t), pair)), of)
+
+
+def dense(sums: Column, num_terms: int) -> Column:
+    """bucket_sums as an array of num_terms ints, the places between buckets filled with zeros."""
+    before = lambda s, k: F.coalesce(F.get(s, k - 1).bucket, F.lit(-1))
+    filled = lambda s: F.flatten(F.transform(s, lambda r, k: F.concat(F.array_repeat(F.lit(0), r.bucket - before(s, k) - 1), F.array(r.value.cast("int")))))
+    return bind(sums, lambda s: F.concat(filled(s), F.array_repeat(F.lit(0), F.lit(num_terms - 1) - before(s, F.size(s)))))
 
 
 def drop_tokens(t: Column, dropped: list[str]) -> Column:
@@ -139,26 +175,30 @@ def codes(t: Column, vocabulary: list[str], length: int = 100, padding: str = "p
     """Places of the tokens in the vocabulary from 1, cut or filled with 0 to one length; 0 is also an unknown token."""
     if {padding, truncating} - {"pre", "post"}:
         raise ValueError("padding and truncating are 'pre' or 'post'")
-    place = F.create_map(*[y for i, v in enumerate(vocabulary, 1) for y in (F.lit(v), F.lit(i))]) if vocabulary else F.create_map().cast("map<string,int>")
-    return bind(_empty_if_null(t), lambda t: _coded(t, place, length, padding, truncating))
+    t = _empty_if_null(t)
+    cut = bind(t, lambda t: F.when(F.size(t) > length, F.slice(t, F.size(t) - length + 1, length) if truncating == "pre" else F.slice(t, 1, length)).otherwise(t))
+    if len(vocabulary) > LITERALS:  # a hash lookup instead of as many literals in the plan
+        known = arrow.codes(vocabulary)(cut)
+    else:
+        place = F.create_map(*[y for i, v in enumerate(vocabulary, 1) for y in (F.lit(v), F.lit(i))]) if vocabulary else F.create_map().cast("map<string,int>")
+        known = F.transform(cut, lambda x: F.coalesce(F.try_element_at(place, x), F.lit(0)))
+    fill = lambda k: F.array_repeat(F.lit(0), F.lit(length) - F.size(k))
+    return bind(known, lambda k: F.concat(fill(k), k) if padding == "pre" else F.concat(k, fill(k)))
+
+
+def _md5_bucket(digest: Column, num_terms: int) -> Column:
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % num_terms).cast("int")
 
 
-def _coded(t: Column, place: Column, length: int, padding: str, truncating: str) -> Column:
-    cut = F.when(F.size(t) > length, F.slice(t, F.size(t) - length + 1, length) if truncating == "pre" else F.slice(t, 1, length)).otherwise(t)
-    known = F.transform(cut, lambda x: F.coalesce(F.try_element_at(place, x), F.lit(0)))
-    fill = F.array_repeat(F.lit(0), F.lit(length) - F.size(known))
-    return F.concat(fill, known) if padding == "pre" else F.concat(known, fill)
+def _md5_sign(digest: Column) -> Column:
+    return F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
 
 
 def bucket(x: Column, num_terms: int, scheme: str = "murmur") -> Column:
     """A token's bucket from 0. md5 is the portable scheme: the first 8 hex digits modulo num_terms."""
-    if scheme == "md5":
-        return (F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % num_terms).cast("int")
-    return F.pmod(F.hash(x), F.lit(num_terms)).cast("int")
+    return _md5_bucket(F.md5(x), num_terms) if scheme == "md5" else F.pmod(F.hash(x), F.lit(num_terms)).cast("int")
 
 
 def sign(x: Column, scheme: str = "murmur") -> Column:
     """-1 or 1, from other bits than the bucket's."""
-    if scheme == "md5":
-        return F.when(F.conv(F.substring(F.md5(x), 9, 2), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
-    return F.when(F.hash(F.lit(1), x) >= 0, 1).otherwise(-1)
+    return _md5_sign(F.md5(x)) if scheme == "md5" else F.when(F.hash(F.lit(1), x) >= 0, 1).otherwise(-1)

@@ -11,12 +11,15 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Selector = str | list[str] | tuple[str, ...] | Callable[[DataFrame], list[str]]
 TOKENS = T.ArrayType(T.StringType())
+#: What a fit gathers on the driver at most: the entries of a vocabulary, and those that become columns.
+MAX_VOCABULARY, MAX_COLUMNS = 1_000_000, 20_000
 
 
 def is_tokens(kind: T.DataType) -> bool:
@@ -62,6 +65,31 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def gathered(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a table that must have ``most`` at most; one more is an error, and nothing is cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: there are over {most}; filter the tokens first, or use the long-form plans")
+    return rows
+
+
+def tokenlist(tokens: Column, lemma: Column | None = None, pos: Column | None = None) -> Column:
+    """A token column of an array of tokens and, in step with it, their lemmas and parts of speech. Fields of other lengths are an error."""
+    fields = {k: v for k, v in (("tokens", tokens), ("lemma", lemma), ("pos", pos)) if v is not None}
+    if len(fields) == 1:
+        return tokens.cast(TOKENS)
+    same = lambda c: F.when(F.size(c) == F.size(tokens), c.cast(TOKENS)).otherwise(F.raise_error(F.lit("fields of a token list must have one length")).cast(TOKENS))
+    return F.struct(*[(v if k == "tokens" else same(v)).cast(TOKENS).alias(k) for k, v in fields.items()])
+
+
 def fields_of(df: DataFrame, name: str) -> list[str]:
     t = df.schema[name].dataType
     return t.fieldNames() if isinstance(t, T.StructType) else ["tokens"]
@@ -97,6 +125,10 @@ class Step:
     id: str = field(default_factory=lambda: uuid.uuid4().hex[:8], kw_only=True)
     kind = "tokens"
     title = "Step"
+    #: Whether the fit reads the data.
+    learns = False
+    #: What may be tuned: the range or the choices of each argument, or None.
+    tunable = {}
 
     def fit(self, df: DataFrame, state: State) -> tuple[Fitted, State]:
         names = selected(df, self.columns)
@@ -117,6 +149,10 @@ class Step:
         """Rows of describe(); names is None before fitting."""
         return [{"terms": n} for n in (names if names is not None else [str(self.columns)])]
 
+    def sparsity(self, df: DataFrame) -> dict[str, tuple[int, float]]:
+        """A guess of the columns that a selected column becomes, and of the share of zeros in them."""
+        return {}
+
     def describe(self, spark: SparkSession) -> DataFrame:
         return _rows(spark, self.tidy(None, {}), self.id)
 
@@ -164,12 +200,19 @@ class Pipeline:
     def add(self, *steps: Step) -> Pipeline:
         return replace(self, steps=self.steps + steps)
 
-    def fit(self, df: DataFrame) -> FittedPipeline:
-        state, fitted = State(), []
-        for s in self.steps:
+    def fit(self, df: DataFrame, persist: bool = True) -> FittedPipeline:
+        """Learns step by step. If two steps or more learn from the data, the rows that reach the first of them are kept (in memory, else
+        on disk) until the last has learnt, so that text is tokenised once; ``persist=False`` computes them anew for each, for data beyond
+        the executors' disks."""
+        state, fitted, kept = State(), [], None
+        for i, s in enumerate(self.steps):
+            if persist and kept is None and i and s.learns and sum(x.learns for x in self.steps[i:]) > 1:
+                kept = df = df.persist(StorageLevel.MEMORY_AND_DISK)
             f, state = s.fit(df, state)
             fitted.append(f)
             df = f.transform(df)
+        if kept is not None:
+            kept.unpersist()
         return FittedPipeline(tuple(fitted), df)
 
     def show_tokens(self, df: DataFrame, name: str, n: int = 6) -> list[list[str]]:
@@ -183,7 +226,7 @@ class Pipeline:
 @dataclass(frozen=True)
 class FittedPipeline:
     steps: tuple[Fitted, ...]
-    training: DataFrame
+    training: DataFrame | None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Steps with skip=True took part in the fit only."""
@@ -192,10 +235,24 @@ class FittedPipeline:
                 df = f.transform(df)
         return df
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the fitted pipeline to a new folder of any store that Spark reaches."""
+        from .store import save
+
+        save(self, spark, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FittedPipeline:
+        """The pipeline that was saved there, without its training data (``training`` is None)."""
+        from .store import load
+
+        return load(spark, path)
+
 
-def distinct_tokens(df: DataFrame, name: str) -> list[str]:
+def distinct_tokens(df: DataFrame, name: str, most: int = MAX_COLUMNS) -> list[str]:
     """Sorted vocabulary of a column; it becomes columns, so it is gathered."""
-    return sorted(r[0] for r in df.select(F.explode(tokens_of(df, name)).alias("t")).where("t is not null").distinct().collect())
+    found = df.select(F.explode(F.array_distinct(tokens_of(df, name))).alias("t")).where("t is not null").distinct()
+    return sorted(r[0] for r in gathered(found, most, f"distinct tokens of {name}"))
 
 
 def vocabulary_of(df: DataFrame, name: str, state: State) -> list[str]:

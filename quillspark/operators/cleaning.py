@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Step, check_names, col
+from .base import Step, check_names, col, gathered
 
+MAX_LEVELS = 2_000
 FORMS = ("nfc", "nfd", "nfkc", "nfkd", "nfkc_casefold")
 
 
@@ -98,11 +99,12 @@ class CleanLevels(Step):
 
     kind = "string"
     title = "Cleaning factor levels"
+    learns = True
 
     def learn(self, df, names, state):
         to = {}
         for n in names:
-            levels = sorted(r[0] for r in df.select(col(n)).where(col(n).isNotNull()).distinct().collect())
+            levels = sorted(r[0] for r in gathered(df.select(col(n)).where(col(n).isNotNull()).distinct(), MAX_LEVELS, f"levels of {n}"))
             to[n] = dict(zip(levels, unique(levels), strict=True))
         return {"to": to}, state
 

@@ -6,16 +6,19 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA as SparkLDA
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text
+from ..functions import arrow, text
 from ..functions.counts import COUNT_FUNCTIONS
-from .base import State, Step, check_names, col, selected, tokens_of, vocabulary_of
+from .base import MAX_COLUMNS, MAX_VOCABULARY, State, Step, check_names, col, distinct_tokens, free, gathered, selected, tokens_of, vocabulary_of
 
 SCHEMES = ("binary", "raw count", "term frequency", "log normalization", "double normalization")
 
@@ -25,17 +28,23 @@ def padded(i: int, n: int) -> str:
 
 
 def count_vector(df: DataFrame, tokens: Column, vocab: list[str], out: str) -> DataFrame:
-    """Counts of the vocabulary's tokens as a sparse vector, in one pass over a row's tokens."""
-    made = df.withColumn("_tokens", F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isNotNull()))
+    """Counts of the vocabulary's tokens as a sparse vector, in one pass over a row's tokens. ``out`` must be a free name."""
     if not vocab:
-        return made.withColumn(out, F.array().cast("array<double>")).drop("_tokens")
-    model = CountVectorizerModel.from_vocabulary(vocab, inputCol="_tokens", outputCol=out)
-    return model.transform(made).drop("_tokens")
+        return df.withColumn(out, F.array().cast("array<double>"))
+    name = free("_tokens", [*df.columns, out])
+    made = df.withColumn(name, F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isNotNull()))
+    model = CountVectorizerModel.from_vocabulary(vocab, inputCol=name, outputCol=out)
+    return model.transform(made).drop(name)
 
 
-def with_columns(df: DataFrame, new: dict[str, Column], gone: list[str], keep: bool) -> DataFrame:
+def spread(made: DataFrame, df: DataFrame, new: dict[str, Column], gone: list[str], keep: bool) -> DataFrame:
+    """The columns of df that stay, and the new ones, which are expressions over ``made``."""
     check_names(df, list(new), [] if keep else gone)
-    return df.select(*[col(c) for c in df.columns if keep or c not in gone], *[c.alias(n) for n, c in new.items()])
+    return made.select(*[col(c) for c in df.columns if keep or c not in gone], *[c.alias(n) for n, c in new.items()])
+
+
+def with_columns(df: DataFrame, new: dict[str, Column], gone: list[str], keep: bool) -> DataFrame:
+    return spread(df, df, new, gone, keep)
 
 
 def _divided(x: Column, by: Callable[[Column], Column]) -> Column:
@@ -43,9 +52,21 @@ def _divided(x: Column, by: Callable[[Column], Column]) -> Column:
     return text.bind(x, lambda x: text.bind(by(x), lambda b: F.transform(x, lambda v: F.when(b == 0, 0.0).otherwise(v / F.when(b == 0, 1.0).otherwise(b)))))
 
 
+def _levels(df: DataFrame, names: list[str]) -> dict[str, tuple[int, float]]:
+    """The mean length of the first ten values stands for the number of columns."""
+    out = {}
+    for n in names:
+        sizes = [len(r[0]) for r in df.select(col(n)).limit(10).collect() if r[0] is not None]
+        level = max(1, sum(sizes) // max(1, len(sizes)))
+        out[n] = level, 1 - 1 / level
+    return out
+
+
 class _Counted(Step):
     """Steps over counts of a vocabulary."""
 
+    learns = True
+
     def learn(self, df: DataFrame, names: list[str], state: State):
         vocab = {n: list(self.vocabulary) if self.vocabulary is not None else vocabulary_of(df, n, state) for n in names}
         return {"vocab": vocab}, state.without(names)
@@ -53,21 +74,19 @@ class _Counted(Step):
     def apply(self, df, names, learnt):
         for n in names:
             vocab = learnt["vocab"][n]
-            counted = count_vector(df, tokens_of(df, n), vocab, "_counts")
+            counts, values = free("_counts", df.columns), free("_values", df.columns)
+            counted = count_vector(df, tokens_of(df, n), vocab, counts)
+            array = vector_to_array(counts) if vocab else F.col(counts)
             if self.output == "vector":
-                new = {f"{self.prefix}_{n}": self.vector(F.col("_counts"), learnt, n, len(vocab))}
+                new = {f"{self.prefix}_{n}": array_to_vector(self.values(array, learnt, n).cast("array<double>"))}
             else:
-                values = self.values(vector_to_array("_counts") if vocab else F.col("_counts"), learnt, n)
-                counted = counted.withColumn("_values", values)
-                new = {f"{self.prefix}_{n}_{t}": F.get("_values", i) for i, t in enumerate(vocab)}
-            check_names(df, list(new), [] if self.keep_original_cols else [n])
-            df = counted.select(*[col(c) for c in df.columns if self.keep_original_cols or c != n], *[c.alias(k) for k, c in new.items()])
+                counted = counted.withColumn(values, self.values(array, learnt, n))
+                new = {f"{self.prefix}_{n}_{t}": F.get(values, i) for i, t in enumerate(vocab)}
+            df = spread(counted, df, new, [n], self.keep_original_cols)
         return df
 
-    def vector(self, counts: Column, learnt: dict, n: str, size: int) -> Column:
-        from pyspark.ml.functions import array_to_vector
-
-        return array_to_vector(self.values(vector_to_array(counts), learnt, n).cast("array<double>"))
+    def sparsity(self, df):
+        return _levels(df, selected(df, self.columns))
 
 
 @dataclass(frozen=True)
@@ -120,13 +139,16 @@ class TfIdf(_Counted):
     def learn(self, df, names, state):
         if self.norm not in ("l1", "l2", "none"):
             raise ValueError(f"norm must be l1, l2 or none, not {self.norm}")
-        learnt, state = super().learn(df, names, state)
-        n_docs = df.count()
-        idf = {}
+        n_docs, vocab, idf = df.count(), {}, {}
         for n in names:
-            seen = {r.t: r.n for r in df.select(F.explode(F.array_distinct(tokens_of(df, n))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-            idf[n] = [math.log(self.smooth_idf + n_docs / seen[t]) if seen.get(t) else math.inf for t in learnt["vocab"][n]]
-        return learnt | {"idf": idf}, state
+            known = list(self.vocabulary) if self.vocabulary is not None else sorted(state.vocab[n]) if n in state.vocab else None
+            seen = df.select(F.explode(F.array_distinct(tokens_of(df, n))).alias("t")).where("t is not null").groupBy("t").agg(F.count("*").alias("n"))
+            if known is not None:
+                seen = seen.join(F.broadcast(df.sparkSession.createDataFrame([(t,) for t in known], "t string")), "t")
+            found = {r.t: r.n for r in gathered(seen, MAX_COLUMNS, f"distinct tokens of {n}")}
+            vocab[n] = known if known is not None else sorted(found)
+            idf[n] = [math.log(self.smooth_idf + n_docs / found[t]) if found.get(t) else math.inf for t in vocab[n]]
+        return {"vocab": vocab, "idf": idf}, state.without(names)
 
     def values(self, x, learnt, n):
         if self.norm == "none":
@@ -145,26 +167,22 @@ class TfIdf(_Counted):
         return [{"terms": n, "token": t, "weight": w} for n in names for t, w in zip(learnt["vocab"][n], learnt["idf"][n], strict=True)]
 
 
-def hash_counts(df: DataFrame, tokens: Column, num_terms: int, signed: bool, scheme: str, out: str) -> DataFrame:
-    """Sums of the signs in each bucket, an array of num_terms ints, in one pass over a row's tokens."""
-    places = [str(i) for i in range(num_terms)]
-    tokens = F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: t.isNotNull())
-    at = lambda x: F.transform(x, lambda t: text.bucket(t, num_terms, scheme).cast("string"))
-    if not signed:
-        return count_vector(df, at(tokens), places, out).withColumn(out, vector_to_array(out).cast("array<int>"))
-    made = count_vector(df, at(F.filter(tokens, lambda t: text.sign(t, scheme) > 0)), places, "_plus")
-    made = count_vector(made, at(F.filter(tokens, lambda t: text.sign(t, scheme) < 0)), places, "_minus")
-    return made.withColumn(out, F.zip_with(vector_to_array("_plus"), vector_to_array("_minus"), lambda p, m: (p - m).cast("int"))).drop("_plus", "_minus")
+OUTPUTS = ("wide", "vector", "map")
 
 
 @dataclass(frozen=True)
 class TextHash(Step):
-    """Signed or plain feature hashing of tokens. Hash schemes: murmur (Spark's) and md5 (portable)."""
+    """Signed or plain feature hashing of tokens. Hash schemes: murmur (Spark's) and md5 (portable).
+
+    output: "wide" gives a column for each bucket, "map" a map of the buckets that tokens fall in, the sparse form, and
+    "vector" an ML vector.
+    """
 
     signed: bool = True
     num_terms: int = 1024
     prefix: str = "texthash"
     scheme: str = "murmur"
+    output: str = "wide"
     keep_original_cols: bool = False
     title = "Feature hashing"
     tunable = {"signed": (True, False), "num_terms": (2**8, 2**12)}
@@ -174,16 +192,25 @@ class TextHash(Step):
             df = _spread_hash(df, tokens_of(df, n), n, [n], self)
         return df
 
+    def sparsity(self, df):
+        return {n: (self.num_terms, 1 - 1 / self.num_terms) for n in selected(df, self.columns)}
+
     def tidy(self, names, learnt):
         return [r | {"value": None if names is None else self.signed, "length": None if names is None else self.num_terms} for r in super().tidy(names, learnt)]
 
 
 def _spread_hash(df: DataFrame, tokens: Column, name: str, gone: list[str], step) -> DataFrame:
-    made = hash_counts(df, tokens, step.num_terms, step.signed, step.scheme, "_hash")
-    new = {f"{step.prefix}_{name}_{padded(i + 1, step.num_terms)}": F.get("_hash", i) for i in range(step.num_terms)}
-    keep = step.keep_original_cols
-    check_names(df, list(new), [] if keep else gone)
-    return made.select(*[col(c) for c in df.columns if keep or c not in gone], *[c.alias(k) for k, c in new.items()])
+    if step.output not in OUTPUTS:
+        raise ValueError(f"output must be one of {', '.join(OUTPUTS)}, not {step.output}")
+    sums, keep = text.bucket_sums(tokens, step.num_terms, step.signed, step.scheme), step.keep_original_cols
+    sparse = lambda x: F.map_from_entries(F.transform(x, lambda r: F.struct(r.bucket, r.value.cast("int"))))
+    if step.output == "map":
+        return spread(df, df, {f"{step.prefix}_{name}": sparse(sums)}, gone, keep)
+    hashed, dense = free("_hash", df.columns), text.dense(sums, step.num_terms)
+    if step.output == "vector":
+        return spread(df, df, {f"{step.prefix}_{name}": array_to_vector(dense.cast("array<double>"))}, gone, keep)
+    made = df.withColumn(hashed, dense)
+    return spread(made, df, {f"{step.prefix}_{name}_{padded(i + 1, step.num_terms)}": F.get(hashed, i) for i in range(step.num_terms)}, gone, keep)
 
 
 @dataclass(frozen=True)
@@ -195,6 +222,7 @@ class DummyHash(Step):
     collapse: bool = False
     prefix: str = "dummyhash"
     scheme: str = "murmur"
+    output: str = "wide"
     keep_original_cols: bool = False
     kind = "string"
     title = "Feature hashing"
@@ -208,6 +236,9 @@ class DummyHash(Step):
             df = _spread_hash(df, text.regex(col(n), " "), n, [n], self)
         return df
 
+    def sparsity(self, df):
+        return {n: (self.num_terms, 1 - 1 / self.num_terms) for n in selected(df, self.columns)}
+
     def tidy(self, names, learnt):
         return [r | {"value": self.signed, "num_terms": self.num_terms, "collapse": self.collapse} for r in super().tidy(names, learnt)]
 
@@ -223,16 +254,16 @@ class SequenceOneHot(Step):
     prefix: str = "seq1hot"
     keep_original_cols: bool = False
     title = "Sequence 1 hot encoding"
+    learns = True
 
     def learn(self, df, names, state):
-        return {"vocab": {n: list(self.vocabulary) if self.vocabulary is not None else vocabulary_of(df, n, state) for n in names}}, state.without(names)
+        return {"vocab": {n: list(self.vocabulary) if self.vocabulary is not None else sorted(state.vocab[n]) if n in state.vocab else distinct_tokens(df, n, MAX_VOCABULARY) for n in names}}, state.without(names)
 
     def apply(self, df, names, learnt):
         for n in names:
-            made = df.withColumn("_codes", text.codes(tokens_of(df, n), learnt["vocab"][n], self.sequence_length, self.padding, self.truncating))
-            new = {f"{self.prefix}_{n}_{i + 1}": F.get("_codes", i) for i in range(self.sequence_length)}
-            check_names(df, list(new), [] if self.keep_original_cols else [n])
-            df = made.select(*[col(c) for c in df.columns if self.keep_original_cols or c != n], *[c.alias(k) for k, c in new.items()])
+            codes = free("_codes", df.columns)
+            made = df.withColumn(codes, text.codes(tokens_of(df, n), learnt["vocab"][n], self.sequence_length, self.padding, self.truncating))
+            df = spread(made, df, {f"{self.prefix}_{n}_{i + 1}": F.get(codes, i) for i in range(self.sequence_length)}, [n], self.keep_original_cols)
         return df
 
     def tidy(self, names, learnt):
@@ -241,16 +272,19 @@ class SequenceOneHot(Step):
         return [{"terms": n, "vocabulary": i, "token": t} for n in names for i, t in enumerate(learnt["vocab"][n], 1)]
 
 
-AGGREGATIONS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
+AGGREGATIONS = ("sum", "mean", "min", "max")
 
 
 @dataclass(frozen=True)
 class WordEmbeddings(Step):
     """Sum, mean, min or max of the vectors of a document's tokens.
 
-    embeddings: a DataFrame whose first column is the token, the rest numbers.
-    Unknown tokens and null values don't count; a document without any gets the
-    default. Small tables are broadcast by their size, larger ones shuffled.
+    embeddings: a DataFrame whose first column is the token, the rest numbers. A
+    table of at most max_bytes is sent to the executors, and a document's
+    vectors are pooled within its row. A larger one is joined with the documents'
+    different tokens, and ``key`` must then name a column that tells the rows
+    apart. Unknown tokens and null values don't count; a document without any
+    gets the default.
     """
 
     embeddings: DataFrame | None = None
@@ -258,6 +292,8 @@ class WordEmbeddings(Step):
     aggregation_default: float = 0
     prefix: str = "wordembed"
     keep_original_cols: bool = False
+    key: str | None = None
+    max_bytes: int = 256 << 20
     title = "Word embeddings aggregated"
 
     def learn(self, df, names, state):
@@ -266,34 +302,56 @@ class WordEmbeddings(Step):
         fields = self.embeddings.schema.fields
         if not isinstance(fields[0].dataType, T.StringType) or not all(isinstance(f.dataType, T.NumericType) for f in fields[1:]):
             raise TypeError("embeddings must have a string column first and numeric columns after it")
-        return {}, state.without(names)
+        token, *dims = self.embeddings.columns
+        vectors = self.embeddings.where(col(token).isNotNull()).dropDuplicates([token])
+        size = vectors.agg(F.count("*"), F.sum(F.octet_length(col(token)))).first()
+        if size[0] * 8 * len(dims) + (size[1] or 0) <= self.max_bytes:
+            table = vectors.toArrow()
+            columns = [pc.fill_null(c.cast(pa.float64()), float("nan")).to_numpy() for c in table.columns[1:]]
+            return {"tokens": table.column(0).to_pylist(), "matrix": np.stack(columns, 1) if columns else np.zeros((table.num_rows, 0)), "dims": dims}, state.without(names)
+        if self.key is None:
+            raise ValueError(f"the embeddings have over {self.max_bytes} bytes; name a key column that tells the rows apart, to join them")
+        return {"dims": dims}, state.without(names)
 
     def apply(self, df, names, learnt):
-        token, *dims = self.embeddings.columns
-        vectors = self.embeddings.dropDuplicates([token])
+        dims, default = learnt["dims"], float(self.aggregation_default)
+        broadcast = df.sparkSession.sparkContext.broadcast
         for n in names:
-            keyed = df.withColumn("_row", F.monotonically_increasing_id())
-            long = keyed.select("_row", F.explode(tokens_of(df, n)).alias("_token")).groupBy("_row", "_token").agg(F.count("*").alias("_n"))
-            joined = long.join(vectors.withColumnRenamed(token, "_token"), "_token")
-            agg = joined.groupBy("_row").agg(*[pooled(self.aggregation, d).alias(f"_{d}") for d in dims])
-            new = {f"{self.prefix}_{n}_{d}": F.coalesce(col(f"_{d}"), F.lit(float(self.aggregation_default))) for d in dims}
-            check_names(df, list(new), [] if self.keep_original_cols else [n])
-            df = keyed.join(agg, "_row", "left").select(*[col(c) for c in df.columns if self.keep_original_cols or c != n], *[c.alias(k) for k, c in new.items()])
+            if "matrix" in learnt:
+                found = free("_pooled", df.columns)
+                pool = arrow.pooled(learnt["tokens"], learnt["matrix"], self.aggregation, default, broadcast)
+                made = df.withColumn(found, pool(F.coalesce(tokens_of(df, n), F.array().cast("array<string>"))))
+                value = lambda i, d, found=found: F.get(found, i)
+            else:
+                made, own = self._joined(df, n, dims)
+                value = lambda i, d, own=own: F.coalesce(own[i], F.lit(default))
+            df = spread(made, df, {f"{self.prefix}_{n}_{d}": value(i, d) for i, d in enumerate(dims)}, [n], self.keep_original_cols)
         return df
 
+    def _joined(self, df: DataFrame, n: str, dims: list[str]) -> tuple[DataFrame, list[Column]]:
+        """df and the pooled columns: one join on the token, one aggregation by the key."""
+        token = self.embeddings.columns[0]
+        names = [f"_{i}" for i in range(len(dims))]
+        vectors = self.embeddings.where(col(token).isNotNull()).dropDuplicates([token]).toDF("token", *names)
+        long = df.select(col(self.key).alias("_key"), F.inline(text.runs(tokens_of(df, n))))
+        agg = long.join(vectors, "token").groupBy("_key").agg(*[pooled(self.aggregation, d).alias(d) for d in names])
+        key, own = free("_key", df.columns), [free(d, df.columns) for d in names]
+        agg = agg.toDF(key, *own)
+        return df.join(agg, col(self.key).eqNullSafe(F.col(key)), "left"), [F.col(d) for d in own]
+
     def tidy(self, names, learnt):
-        rows = self.embeddings.count() if names is not None else None
+        rows = None if names is None else len(learnt["tokens"]) if "tokens" in learnt else self.embeddings.count()
         return [r | {"embeddings_rows": rows, "aggregation": self.aggregation} for r in super().tidy(names, learnt)]
 
 
-def pooled(aggregation: str, dim: str, times: str = "_n") -> Column:
+def pooled(aggregation: str, dim: str, times: str = "n") -> Column:
     """An aggregate over vectors that stand ``times`` times each."""
     d, n = col(dim), F.col(times)
     if aggregation == "sum":
         return F.sum(d * n)
     if aggregation == "mean":
         return F.sum(d * n) / F.sum(F.when(d.isNotNull(), n))
-    return AGGREGATIONS[aggregation](d).cast("double")
+    return (F.min if aggregation == "min" else F.max)(d).cast("double")
 
 
 @dataclass(frozen=True)
@@ -307,6 +365,7 @@ class LDA(Step):
     prefix: str = "lda"
     keep_original_cols: bool = False
     title = "Text feature extraction"
+    learns = True
 
     def learn(self, df, names, state):
         learnt = {"vocab": {}, "models": {}}
@@ -317,17 +376,19 @@ class LDA(Step):
             counts = df.select(F.explode(tokens_of(df, n)).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where("n >= 2")
             vocab = sorted(r.t for r in counts.orderBy(F.desc("n"), "t").limit(50 * max(self.num_topics, 1)).collect())
             learnt["vocab"][n] = vocab
-            counted = count_vector(df, tokens_of(df, n), vocab, "_counts")
-            learnt["models"][n] = SparkLDA(k=self.num_topics, maxIter=self.max_iter, seed=self.seed, featuresCol="_counts", topicDistributionCol="_topics").fit(counted)
+            features = free("_lda_counts", [n])
+            counted = count_vector(df.select(col(n)), tokens_of(df, n), vocab, features)
+            learnt["models"][n] = SparkLDA(k=self.num_topics, maxIter=self.max_iter, seed=self.seed, featuresCol=features).fit(counted)
         return learnt, state.without(names)
 
     def apply(self, df, names, learnt):
         for n in names:
-            counted = count_vector(df, tokens_of(df, n), learnt["vocab"][n], "_counts")
-            made = learnt["models"][n].transform(counted).withColumn("_topics", vector_to_array("_topics"))
-            new = {f"{self.prefix}_{n}_{i + 1}": F.get("_topics", i) for i in range(self.num_topics)}
-            check_names(df, list(new), [] if self.keep_original_cols else [n])
-            df = made.select(*[col(c) for c in df.columns if self.keep_original_cols or c != n], *[c.alias(k) for k, c in new.items()])
+            counts = free("_lda_counts", df.columns)
+            topics = free("_topics", [*df.columns, counts])
+            counted = count_vector(df, tokens_of(df, n), learnt["vocab"][n], counts)
+            model = learnt["models"][n].copy().setFeaturesCol(counts).setTopicDistributionCol(topics)
+            made = model.transform(counted).withColumn(topics, vector_to_array(topics))
+            df = spread(made, df, {f"{self.prefix}_{n}_{i + 1}": F.get(topics, i) for i in range(self.num_topics)}, [n], self.keep_original_cols)
         return df
 
     def tidy(self, names, learnt):

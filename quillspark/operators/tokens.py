@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import arrow, subword, text
 from ..functions import stem as stems
-from ..functions import subword, text
 from ..functions.stopwords import stopwords
-from .base import TOKENS, State, Step, check_names, col, distinct_tokens, fields_of, tokens_of
+from . import taggers
+from .base import MAX_VOCABULARY, TOKENS, State, Step, check_names, col, distinct_tokens, fields_of, gathered, tokens_of
 
 
 def python_udf(fn: Callable, out: T.DataType = TOKENS) -> Callable[[Column], Column]:
@@ -31,8 +32,10 @@ def _listed(v) -> list[str]:
     return [] if v is None else list(v)
 
 
-def _stem_row(tokens, fn=None) -> list[str]:
-    return [fn(t) for t in _listed(tokens)]
+def _stemmer(language: str) -> Callable[[str], str]:
+    if language not in stems.STEMMERS:
+        raise ValueError(f"no stemmer for {language}; give custom_stemmer")
+    return stems.STEMMERS[language]
 
 
 def _custom_row(tokens, fn=None) -> list[str]:
@@ -41,7 +44,11 @@ def _custom_row(tokens, fn=None) -> list[str]:
 
 @dataclass(frozen=True)
 class Tokenize(Step):
-    """Text to tokens. ``custom`` is a Column to Column function, ``tagger`` a text to (tokens, lemma, pos) function."""
+    """Text to tokens. ``custom`` is a Column to Column function, ``tagger`` a text to (tokens, lemma, pos) function.
+
+    engine: "default"; "bpe", trained on the column; "tagger", with the function given; "spacy" and "udpipe", taggers of
+    those libraries, where they are installed, with the model named in training_options["model"].
+    """
 
     token: str = "words"
     engine: str = "default"
@@ -51,14 +58,21 @@ class Tokenize(Step):
     tagger: Callable | None = None
     kind = "string"
     title = "Tokenization"
+    tunable = {"token": (*text.KINDS, "word_stems")}
+
+    @property
+    def learns(self) -> bool:
+        return self.custom is None and self.engine == "bpe"
 
     def learn(self, df: DataFrame, names: list[str], state: State):
         if self.custom is None and self.engine == "bpe":
             if "vocab_size" not in self.training_options:
                 raise ValueError("training_options needs vocab_size")
             return TokenizeBPE(names, vocabulary_size=self.training_options["vocab_size"]).learn(df, names, state)
-        if self.engine not in ("default", "tagger", "bpe"):
-            raise ValueError(f"engine must be default, tagger or bpe, not {self.engine}")
+        if self.engine not in ("default", "tagger", "bpe", *taggers.ENGINES):
+            raise ValueError(f"engine must be one of default, tagger, bpe, {', '.join(taggers.ENGINES)}, not {self.engine}")
+        if self.engine in taggers.ENGINES:
+            taggers.check(self.engine)
         kinds = [*text.KINDS, "word_stems"] if self.engine == "default" else ["words"]
         if self.custom is None and self.token not in kinds:
             raise ValueError(f"token must be one of {', '.join(kinds)}, not {self.token}")
@@ -67,9 +81,9 @@ class Tokenize(Step):
     def apply(self, df: DataFrame, names: list[str], learnt: dict) -> DataFrame:
         if self.custom is None and self.engine == "bpe":
             return TokenizeBPE(names).apply(df, names, learnt)
-        if self.engine == "tagger":
+        if self.engine == "tagger" or self.engine in taggers.ENGINES:
             kind = T.StructType([T.StructField(n, TOKENS) for n in ("tokens", "lemma", "pos")])
-            tagger = self.tagger
+            tagger = self.tagger if self.engine == "tagger" else partial(taggers.tag, self.engine, self.training_options.get("model"))
 
             @F.pandas_udf(kind)
             def run(x: pd.Series) -> pd.DataFrame:
@@ -80,9 +94,8 @@ class Tokenize(Step):
             fn = self.custom
         elif self.token == "word_stems":
             options = dict(self.options)
-            stemmer = stems.STEMMERS[options.pop("language", "english")]
-            udf = python_udf(partial(_stem_row, fn=stemmer))
-            fn = lambda x: udf(text.words(x, **options))
+            stemmed = arrow.map_tokens(_stemmer(options.pop("language", "english")))
+            fn = lambda x: stemmed(text.words(x, **options))
         else:
             fn = partial(text.KINDS[self.token], **self.options)
         return df.withColumns({n: fn(col(n)) for n in names})
@@ -91,6 +104,12 @@ class Tokenize(Step):
         return [r | {"value": None if names is None else self.token} for r in super().tidy(names, learnt)]
 
 
+def _words(df: DataFrame, n: str) -> list:
+    """The words of a text column and their counts, for a model that is trained on the driver."""
+    word = F.explode(F.filter(F.split(col(n), r"\s+"), lambda w: w != "")).alias("w")
+    return gathered(df.select(word).groupBy("w").agg(F.count("*").alias("n")), MAX_VOCABULARY, f"distinct words of {n}")
+
+
 @dataclass(frozen=True)
 class TokenizeBPE(Step):
     """Byte-pair pieces of a model that is trained for each column on its word counts."""
@@ -99,14 +118,15 @@ class TokenizeBPE(Step):
     options: dict = field(default_factory=dict)
     kind = "string"
     title = "BPE tokenization"
+    learns = True
+    tunable = {"vocabulary_size": (1000, 32000)}
 
     def learn(self, df, names, state):
         if "vocab_size" in self.options:
             raise ValueError("give vocabulary_size, not vocab_size in options")
         merges, vocab = {}, {}
         for n in names:
-            word = F.explode(F.filter(F.split(col(n), r"\s+"), lambda w: w != "")).alias("w")
-            counts = {subword.MARK + r.w: r.n for r in df.select(word).groupBy("w").agg(F.count("*").alias("n")).collect()}
+            counts = {subword.MARK + r.w: r.n for r in _words(df, n)}
             letters = {c for w in counts for c in w}  # with the mark, which stands for the blank
             if self.vocabulary_size < len(letters):
                 raise ValueError(f"vocabulary_size of {self.vocabulary_size} is too small for column {n}; it has {len(letters)} characters")
@@ -137,6 +157,7 @@ class TokenizeSentencePiece(Step):
     options: dict = field(default_factory=dict)
     kind = "string"
     title = "SentencePiece tokenization"
+    learns = True
 
     def learn(self, df, names, state):
         import io
@@ -149,8 +170,7 @@ class TokenizeSentencePiece(Step):
                 with open(self.model_file, "rb") as f:
                     models[n] = f.read()
             else:
-                word = F.explode(F.filter(F.split(col(n), r"\s+"), lambda w: w != "")).alias("w")
-                rows = df.select(word).groupBy("w").agg(F.count("*").alias("n")).orderBy("w").collect()
+                rows = sorted(_words(df, n))
                 letters = {c for r in rows for c in r.w} | {subword.MARK}
                 if self.vocabulary_size < len(letters):
                     raise ValueError(f"vocabulary_size of {self.vocabulary_size} is too small for column {n}; it has {len(letters)} characters")
@@ -172,11 +192,12 @@ class TokenizeSentencePiece(Step):
 
 def _pieces(model: bytes):
     @F.pandas_udf(TOKENS)
-    def run(x: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import sentencepiece as sp
 
-        p = sp.SentencePieceProcessor(model_proto=model)
-        return pd.Series(p.encode([t or "" for t in x], out_type=str))
+        p = sp.SentencePieceProcessor(model_proto=model)  # once for a task, not for each batch
+        for x in batches:
+            yield pd.Series(p.encode([t or "" for t in x], out_type=str))
 
     return run
 
@@ -223,10 +244,7 @@ class Stem(Step):
         if self.custom_stemmer:
             fn = python_udf(partial(_custom_row, fn=self.custom_stemmer))
         else:
-            language = self.options.get("language", "english")
-            if language not in stems.STEMMERS:
-                raise ValueError(f"no stemmer for {language}; give custom_stemmer")
-            fn = python_udf(partial(_stem_row, fn=stems.STEMMERS[language]))
+            fn = arrow.map_tokens(_stemmer(self.options.get("language", "english")))
         return df.withColumns({n: fn(tokens_of(df, n)) for n in names})
 
     def tidy(self, names, learnt):
@@ -267,6 +285,13 @@ class PosFilter(Step):
         return df.withColumns({n: _filtered(df, n, lambda r: r["pos"].isin(list(self.keep_tags)) if self.keep_tags else F.lit(False)) for n in names})
 
 
+def _members(df: DataFrame, n: str, vocab: list[str]) -> Column:
+    """The tokens that are in the vocabulary; a large one is looked up in Arrow batches, not put into the plan."""
+    if len(vocab) <= text.LITERALS or fields_of(df, n) != ["tokens"]:
+        return _filtered(df, n, lambda r: r["tokens"].isin(vocab) if vocab else F.lit(False))
+    return arrow.keep_tokens(vocab)(tokens_of(df, n))
+
+
 def _filtered(df: DataFrame, n: str, keep: Callable[[Column], Column]) -> Column:
     """A token column with the elements for which keep(struct of fields) holds, all fields in step."""
     fields = fields_of(df, n)
@@ -335,6 +360,11 @@ class TokenFilter(Step):
     max_tokens: int | None = 100
     filter_fun: Callable[[Column], Column] | None = None
     title = "Text filtering"
+    tunable = {"max_times": None, "min_times": None, "max_tokens": None}
+
+    @property
+    def learns(self) -> bool:
+        return self.filter_fun is None
 
     def learn(self, df, names, state):
         if self.filter_fun:
@@ -342,7 +372,7 @@ class TokenFilter(Step):
         vocab = {}
         for n in names:
             kept = self.counted(df.select(F.explode(tokens_of(df, n)).alias("token")))
-            vocab[n] = [r.token for r in kept.collect()]
+            vocab[n] = [r.token for r in gathered(kept, MAX_VOCABULARY, f"tokens of {n} that stay")]
         return {"vocab": vocab}, state.with_vocab(vocab)
 
     def counted(self, tokens: DataFrame) -> DataFrame:
@@ -360,7 +390,7 @@ class TokenFilter(Step):
     def apply(self, df, names, learnt):
         if self.filter_fun:
             return df.withColumns({n: _filtered(df, n, lambda r: self.filter_fun(r["tokens"])) for n in names})
-        return df.withColumns({n: _filtered(df, n, lambda r, n=n: r["tokens"].isin(learnt["vocab"][n]) if learnt["vocab"][n] else F.lit(False)) for n in names})
+        return df.withColumns({n: _members(df, n, learnt["vocab"][n]) for n in names})
 
     def tidy(self, names, learnt):
         return [{"terms": n, "value": None if names is None else len(learnt.get("vocab", {}).get(n, ()))} for n in (names if names is not None else [str(self.columns)])]

@@ -1,17 +1,28 @@
 """Long-form plans: (document, token, value) rows, which need no schema discovery.
 
-These scale where wide columns don't: the vocabulary stays a DataFrame. Counts
-are combined before the shuffle; a frequent token's rows in the join with the
-document frequencies may be split by the skew rule.
+A row is a document. Its tokens are counted within the row, by sorting its
+array, so counts, weights and hashes need no shuffle. Only what is known of all
+documents (document frequencies, a filter's vocabulary) is aggregated over the
+cluster: it becomes a persisted table, whose rows are counted, and is broadcast if
+they are few; beyond that it is joined by a shuffle that the skew rule may split.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(table: DataFrame) -> DataFrame:
+    """The table, persisted on disk, and marked for a broadcast if it has few rows."""
+    table = table.persist(StorageLevel.DISK_ONLY)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
 
 def tokens(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(key, F.explode(tokens).alias("token"))
@@ -19,7 +30,12 @@ def tokens(df: DataFrame, key: str, tokens: Column) -> DataFrame:
 
 def counts(df: DataFrame, key: str, toks: Column) -> DataFrame:
     """key, token, n."""
-    return tokens(df, key, toks).groupBy(key, "token").agg(F.count("*").alias("n"))
+    return df.select(key, F.inline(text.runs(toks)))
+
+
+def _inlined(found: DataFrame, key: str, of: Column) -> DataFrame:
+    """key, _of, token, n; ``of`` is computed once for a row, before its tokens are rows."""
+    return found.select(key, of.alias("_of"), "_runs").select(key, "_of", F.inline("_runs"))
 
 
 def term_frequency(df: DataFrame, key: str, toks: Column, scheme: str = "raw count", weight: float = 0.5) -> DataFrame:
@@ -28,40 +44,37 @@ def term_frequency(df: DataFrame, key: str, toks: Column, scheme: str = "raw cou
     if scheme in ("raw count", "binary", "log normalization"):
         value = {"raw count": n, "binary": F.lit(1).cast("long"), "log normalization": F.log1p(n)}[scheme]
         return counts(df, key, toks).select(key, "token", value.alias("value"))
-    # sums and maxima of a document ride along with its tokens, so no second shuffle follows
+    found = df.select(key, text.runs(toks).alias("_runs"))
     if scheme == "term frequency":
-        sized = df.select(key, toks.alias("_t")).select(key, F.size("_t").alias("_size"), F.explode("_t").alias("token"))
-        return sized.groupBy(key, "token").agg((F.count("*") / F.first("_size")).alias("value"))
-    from pyspark.sql import Window
+        whole = F.aggregate("_runs", F.lit(0).cast("long"), lambda a, r: a + r.n)
+        return _inlined(found, key, whole).select(key, "token", (n / F.col("_of")).alias("value"))
+    top = F.array_max(F.transform("_runs", lambda r: r.n))
+    return _inlined(found, key, top).select(key, "token", (weight + weight * n / F.col("_of")).alias("value"))
+
 
-    top = F.max("n").over(Window.partitionBy(key))
-    return counts(df, key, toks).withColumn("_top", top).select(key, "token", (weight + weight * n / F.col("_top")).alias("value"))
+def frequencies(df: DataFrame, toks: Column) -> DataFrame:
+    """token and _df, the number of documents that have it."""
+    return df.select(F.explode(F.array_distinct(toks)).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("_df"))
 
 
 def tf_idf(df: DataFrame, key: str, toks: Column, norm: str = "l1", smooth: bool = True, sublinear: bool = False, training: DataFrame | None = None) -> DataFrame:
     """key, token, value. Document frequencies come from ``training`` (the same rows unless given)."""
-    sized = df.select(key, toks.alias("_t")).select(key, F.size("_t").alias("_size"), F.explode("_t").alias("token"))
-    found = sized.groupBy(key, "token").agg(F.count("*").alias("n"), F.first("_size").alias("_size"))
-    if norm == "l1":
-        tf = F.col("n") / F.col("_size")
-    elif norm == "l2":
-        from pyspark.sql import Window
-
-        found = found.withColumn("_norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key))))
-        tf = F.col("n") / F.col("_norm")
+    base = training if training is not None else df
+    idf = F.ln(F.lit(1 if smooth else 0) + F.lit(base.count()) / F.col("_df"))
+    table = checked(frequencies(base, toks).select("token", idf.alias("_idf")))
+    found = df.select(key, text.runs(toks).alias("_runs"))
+    if norm == "none":
+        of = F.lit(1.0)
+    elif norm == "l1":
+        of = F.aggregate("_runs", F.lit(0.0), lambda a, r: a + r.n)
     else:
-        tf = F.col("n").cast("double")
+        of = F.sqrt(F.aggregate("_runs", F.lit(0.0), lambda a, r: a + r.n * r.n))
+    tf = F.col("n") / F.col("_of")
     if sublinear:
         tf = 1 + F.ln(tf)
-    base = training if training is not None else df
-    n_docs = base.select(F.count("*").alias("_docs"))
-    df_of = base.select(F.explode(F.array_distinct(toks)).alias("token")).groupBy("token").agg(F.count("*").alias("_df"))
-    idf = df_of.crossJoin(F.broadcast(n_docs)).select("token", F.ln(F.lit(1 if smooth else 0) + F.col("_docs") / F.col("_df")).alias("_idf"))  # one row on the right
-    return found.withColumn("_tf", tf).join(idf, "token").select(key, "token", (F.col("_tf") * F.col("_idf")).alias("value"))
+    return _inlined(found, key, of).join(table, "token").select(key, "token", (tf * F.col("_idf")).alias("value"))
 
 
 def hashed(df: DataFrame, key: str, toks: Column, num_terms: int, signed: bool, scheme: str) -> DataFrame:
     """key, bucket, value (sum of signs)."""
-    t = F.col("token")
-    rows = tokens(df, key, toks).select(key, text.bucket(t, num_terms, scheme).alias("bucket"), (text.sign(t, scheme) if signed else F.lit(1)).alias("s"))
-    return rows.groupBy(key, "bucket").agg(F.sum("s").alias("value"))
+    return df.select(key, F.inline(text.bucket_sums(toks, num_terms, signed, scheme)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,9 +66,25 @@ _kind("tokenize_characters", r"regexp_extract_all(lower(text), '[\p{L}\p{N}]\p{M
 _kind("tokenize_lines", "list_filter(string_split(text, chr(10)), lambda x: x <> '')", "lines")
 _kind("tokenize_paragraphs", "list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: replace(x, chr(10), ' ')), lambda x: x <> '')", "paragraphs")
 _kind("tokenize_regex", r"list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '')", "regex", pattern=r"[ \n]+")
-_kind("tokenize_sentences", None, "sentences")
-_kind("tokenize_ptb", None, "ptb")
-_kind("tokenize_character_shingle", None, "character_shingle", n=3)
+SENTENCES = """string_split(regexp_replace(regexp_replace(text, '[\\n\\r]', ' ', 'g'), '([.!?]+[''"\\)]*) +', '\\1' || chr(10), 'g'), chr(10))"""
+_kind("tokenize_sentences", f"list_filter(list_transform({SENTENCES}, lambda x: trim(x, ' ')), lambda x: x <> '')", "sentences")
+
+
+def _ptb_sql() -> str:
+    x = "' ' || text || ' '"
+    for pattern, to in X.PTB:
+        to = to.replace("$", "\\").replace("'", "''")
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    return rf"list_filter(regexp_split_to_array({x}, '\s+'), lambda x: x <> '')"
+
+
+_kind("tokenize_ptb", _ptb_sql(), "ptb")
+CHARS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]\p{M}*')"
+_kind("tokenize_character_shingle", "c", "character_shingle", n=3)
+ORACLES["tokenize_character_shingle"] = (
+    f"WITH c AS (SELECT doc_id, {CHARS} AS c FROM documents), s AS (SELECT doc_id, i, c[i] || c[i + 1] || c[i + 2] AS x FROM (SELECT doc_id, c, unnest(range(1, len(c) - 1)) AS i FROM c)), "
+    "t AS (SELECT doc_id, count(*) AS n, string_agg(x, '|' ORDER BY i) AS x FROM s GROUP BY doc_id) SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, coalesce(x, '') AS tokens FROM documents LEFT JOIN t ON documents.doc_id = t.doc_id"
+)
 _kind("tokenize_word_stems", None, "word_stems")
 
 
@@ -92,9 +109,12 @@ def tokenize_ngrams(spark, d):
     return long.counts(docs(spark, d), "doc_id", X.word_ngrams(F.col("text"), 3))
 
 
-@query()
+SKIPS = "SELECT doc_id, unnest(t) AS token FROM toks" + "".join(f" UNION ALL SELECT doc_id, t[i] || ' ' || t[i + {k}] FROM (SELECT doc_id, t, unnest(range(1, len(t) - {k} + 1)) AS i FROM toks WHERE len(t) > {k})" for k in (1, 2))
+
+
+@query(f"WITH {TOKS} SELECT DISTINCT doc_id, token, CAST(1 AS BIGINT) AS n FROM ({SKIPS})")
 def tokenize_skip_ngrams(spark, d):
-    return long.counts(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text"), "doc_id", X.skip_ngrams(F.col("text"), 2, 1, 1))
+    return long.counts(docs(spark, d), "doc_id", X.skip_ngrams(F.col("text"), 2, 1, 1))
 
 
 # Token filters
@@ -117,7 +137,11 @@ def _filter(name, keep_sql, **options):
     @query(f"WITH {TOK}, c AS (SELECT token, count(*) AS n FROM tok GROUP BY token), k AS ({keep_sql}) SELECT doc_id, token, count(*) AS n FROM tok WHERE token IN (SELECT token FROM k) GROUP BY doc_id, token", name)
     def run(spark, d):
         step = O.TokenFilter("text", **options)
-        kept = step.counted(long.tokens(worded(spark, d), "doc_id", F.col("t")).select("token")).select("token")
+        if step.max_tokens is not None:
+            out = O.Pipeline((O.Tokenize("text"), step)).fit(docs(spark, d)).training
+            return long.counts(out, "doc_id", F.col("text"))
+        # a vocabulary without a bound stays a table
+        kept = long.checked(step.counted(long.tokens(worded(spark, d), "doc_id", F.col("t")).select("token")).select("token"))
         return long.counts(worded(spark, d), "doc_id", F.col("t")).join(kept, "token").select("doc_id", "token", "n")
 
 
@@ -158,6 +182,40 @@ _tfidf("tfidf_none", "CAST(n AS DOUBLE)", norm="none")
 _tfidf("tfidf_sublinear", "1 + ln(n / sum(n) OVER (PARTITION BY doc_id))", sublinear=True)
 
 
+# The steps' own wide and vector output, of a given vocabulary
+WIDE_VOCAB = ["the", "of", "and", "der", "la", "que"]
+WIDE = f"{TOKS}, c AS (SELECT doc_id, " + ", ".join(f"CAST(len(list_filter(t, lambda x: x = '{v}')) AS DOUBLE) AS c{i}" for i, v in enumerate(WIDE_VOCAB)) + " FROM toks)"
+WIDE_SUM = " + ".join(f"c{i}" for i in range(len(WIDE_VOCAB)))
+WIDE_SQUARES = " + ".join(f"c{i} * c{i}" for i in range(len(WIDE_VOCAB)))
+WIDE_MAX = "greatest(" + ", ".join(f"c{i}" for i in range(len(WIDE_VOCAB))) + ")"
+
+
+def _wide(name, step, value, kind="DOUBLE"):
+    """value: SQL of a column, with {c} for a token's count and {i} for its number."""
+    cols = ", ".join(f"round({value.format(c=f'c{i}', i=i)}, 6) AS v{i}" if kind == "DOUBLE" else f"CAST({value.format(c=f'c{i}', i=i)} AS {kind}) AS v{i}" for i in range(len(WIDE_VOCAB)))
+    idf = ", idf AS (SELECT " + ", ".join(f"ln(1 + count(*) / sum(CAST(c{i} > 0 AS INTEGER))) AS idf{i}" for i in range(len(WIDE_VOCAB))) + " FROM c)"
+
+    @query(f"WITH {WIDE}{idf if 'idf' in value else ''} SELECT doc_id, {cols} FROM c{', idf' if 'idf' in value else ''}", name)
+    def run(spark, d):
+        out = O.Pipeline((O.Tokenize("text"), step)).fit(docs(spark, d)).training
+        prefix = f"{step.prefix}_text"
+        values = [F.get(vector_to_array(F.col(prefix)), i) if step.output == "vector" else F.col(f"{prefix}_{v}") for i, v in enumerate(WIDE_VOCAB)]
+        return out.select("doc_id", *[(F.round(v, 6) if kind == "DOUBLE" else v).alias(f"v{i}") for i, v in enumerate(values)])
+
+
+_given = {"vocabulary": tuple(WIDE_VOCAB)}
+_wide("tf_wide_raw", O.TermFrequency("text", **_given), "{c}", "INTEGER")
+_wide("tf_wide_binary", O.TermFrequency("text", weight_scheme="binary", **_given), "{c} > 0", "INTEGER")
+_wide("tf_wide_freq", O.TermFrequency("text", weight_scheme="term frequency", **_given), f"CASE WHEN {WIDE_SUM} = 0 THEN 0 ELSE {{c}} / ({WIDE_SUM}) END")
+_wide("tf_wide_log", O.TermFrequency("text", weight_scheme="log normalization", **_given), "ln(1 + {c})")
+_wide("tf_wide_double", O.TermFrequency("text", weight_scheme="double normalization", **_given), f"CASE WHEN {WIDE_MAX} = 0 THEN CAST('NaN' AS DOUBLE) ELSE 0.5 + 0.5 * {{c}} / {WIDE_MAX} END")
+_wide("tf_vector_log", O.TermFrequency("text", weight_scheme="log normalization", output="vector", **_given), "ln(1 + {c})")
+_wide("tfidf_wide_l1", O.TfIdf("text", **_given), f"CASE WHEN {WIDE_SUM} = 0 THEN 0 ELSE {{c}} / ({WIDE_SUM}) * idf{{i}} END")
+_wide("tfidf_wide_l2", O.TfIdf("text", norm="l2", **_given), f"CASE WHEN {WIDE_SQUARES} = 0 THEN 0 ELSE {{c}} / sqrt({WIDE_SQUARES}) * idf{{i}} END")
+_wide("tfidf_vector_none", O.TfIdf("text", norm="none", output="vector", **_given), "{c} * idf{i}")
+_wide("tfidf_wide_sublinear", O.TfIdf("text", sublinear_tf=True, **_given), f"CASE WHEN {{c}} = 0 THEN 0 ELSE (1 + ln({{c}} / ({WIDE_SUM}))) * idf{{i}} END")
+
+
 # Hashing
 MD5 = "CAST(concat('0x', substr(md5(token), 1, 8)) AS BIGINT)"
 SIGN = "CASE WHEN CAST(concat('0x', substr(md5(token), 9, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END"
@@ -173,6 +231,27 @@ def texthash_md5_unsigned(spark, d):
     return long.hashed(worded(spark, d), "doc_id", F.col("t"), 1024, False, "md5")
 
 
+@query(ORACLES["texthash_md5"])
+def texthash_map(spark, d):
+    """The step's sparse output."""
+    out = O.Pipeline((O.Tokenize("text"), O.TextHash("text", scheme="md5", output="map"))).fit(docs(spark, d)).training
+    return out.select("doc_id", F.explode("texthash_text").alias("bucket", "value")).withColumn("value", F.col("value").cast("long"))
+
+
+def _texthash_wide(name, output):
+    sums = ", ".join(f"CAST(coalesce(sum({SIGN}) FILTER ({MD5} % 16 = {i}), 0) AS INTEGER) AS h{i}" for i in range(16))
+
+    @query(f"WITH {TOK}, h AS (SELECT doc_id, {sums} FROM tok GROUP BY doc_id) SELECT documents.doc_id, {', '.join(f'coalesce(h{i}, 0) AS h{i}' for i in range(16))} FROM documents LEFT JOIN h ON documents.doc_id = h.doc_id", name)
+    def run(spark, d):
+        out = O.Pipeline((O.Tokenize("text"), O.TextHash("text", num_terms=16, scheme="md5", output=output))).fit(docs(spark, d)).training
+        value = lambda i: F.col(f"texthash_text_{i + 1:02d}") if output == "wide" else F.get(vector_to_array("texthash_text"), i).cast("int")
+        return out.select("doc_id", *[value(i).alias(f"h{i}") for i in range(16)])
+
+
+_texthash_wide("texthash_wide", "wide")
+_texthash_wide("texthash_vector", "vector")
+
+
 @query()
 def texthash_murmur(spark, d):
     return O.Pipeline((O.Tokenize("text"), O.TextHash("text", num_terms=64))).fit(docs(spark, d)).training
@@ -225,9 +304,31 @@ def textfeature_counts(spark, d):
     return out.select("doc_id", *[F.col(f"textfeature_text_{k}").cast("long").alias(k) for k in COUNT_SQL])
 
 
-@query()
+GROUPS = {"first_person": C.FIRST_PERSON, "first_personp": C.FIRST_PERSON_PLURAL, "second_person": C.SECOND_PERSON, "second_personp": C.SECOND_PERSON_PLURAL, "third_person": C.THIRD_PERSON, "to_be": C.TO_BE, "prepositions": C.PREPOSITIONS}
+quoted = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+TAG = r"#[\p{L}\p{Nl}\p{M}\p{Nd}_]+"
+MENTION = r"@[^\t\n\f\r\p{Z}]+"
+ALL_SQL = COUNT_SQL | {
+    "n_uq_charS": r"len(list_distinct(list_filter(string_split(regexp_replace(text, '[\t\n\f\r\p{Z}]', '', 'g'), ''), lambda x: x <> '')))",
+    "n_hashtags": f"len(regexp_extract_all(text, '{TAG}'))",
+    "n_uq_hashtags": f"len(list_distinct(regexp_extract_all(text, '{TAG}')))",
+    "n_uq_mentions": f"len(list_distinct(regexp_extract_all(text, '{MENTION}')))",
+    "n_caps": r"len(regexp_extract_all(text, '\p{Lu}'))",
+    "n_lowers": r"len(regexp_extract_all(text, '[\p{Ll}ªº]'))",
+    **{k: f"len(list_filter({quoted(v)}, lambda x: x = text))" for k, v in GROUPS.items()},
+}
+
+
+@query("SELECT doc_id, " + ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in ALL_SQL.items()) + " FROM documents")
 def textfeature_all(spark, d):
-    return O.Pipeline((O.TextFeature("text"),)).fit(docs(spark, d)).training
+    out = O.Pipeline((O.TextFeature("text"),)).fit(docs(spark, d)).training
+    return out.select("doc_id", *[F.col(f"textfeature_text_{k}").cast("long").alias(k) for k in C.COUNT_FUNCTIONS])
+
+
+@query(f"WITH {TOKS} SELECT doc_id, " + ", ".join(f"CAST(len(list_filter(t, lambda x: list_contains({quoted(v)}, x))) AS BIGINT) AS {k}_tokens" for k, v in GROUPS.items()) + " FROM toks")
+def word_groups(spark, d):
+    """The counters of word groups over tokens instead of the whole text."""
+    return worded(spark, d).select("doc_id", *[c.cast("long").alias(k) for k, c in C.token_counts(F.col("t")).items()])
 
 
 # Sequences
@@ -255,23 +356,40 @@ def tokenmerge(spark, d):
     return out.select("p_partkey", F.array_join("merged", "|").alias("merged"))
 
 
-# Embeddings: token i has the low bits of i as its vector
-EMB = [(w, *[float(i >> k & 1) for k in range(4)]) for i, w in enumerate(SEQ_VOCAB, 1)]
-EMB_SQL = "emb(token, d1, d2, d3, d4) AS (VALUES " + ", ".join(f"('{e[0]}', {', '.join(f'CAST({v} AS DOUBLE)' for v in e[1:])})" for e in EMB) + ")"
+@query(
+    f"WITH {TOKS}, v AS (SELECT list_sort(list_distinct(flatten(list(t)))) AS v FROM toks WHERE doc_id % 50 = 0), "
+    "c AS (SELECT doc_id, list_transform(t[1:12], lambda x: coalesce(list_position(v, x), 0)) AS c FROM toks, v) SELECT doc_id, array_to_string(list_concat(c, list_transform(range(0, 12 - len(c)), lambda x: 0)), ',') AS codes FROM c"
+)
+def sequence_codes_learnt(spark, d):
+    """The codes of a vocabulary that is learnt from other rows than those it is applied to."""
+    step = O.SequenceOneHot("text", sequence_length=12, padding="post", truncating="post")
+    made = O.Pipeline((O.Tokenize("text"), step)).fit(docs(spark, d).where("doc_id % 50 = 0")).transform(docs(spark, d))
+    return made.select("doc_id", F.array_join(F.array(*[F.col(f"seq1hot_text_{i + 1}").cast("string") for i in range(12)]), ",").alias("codes"))
+
+
+# Embeddings: a vector for every word of the documents, of its digest's first 8 hex digits
+DIMS = range(1, 9)
+EMB_SQL = "emb AS (SELECT DISTINCT token, " + ", ".join(f"CAST(concat('0x', substr(md5(token), {k}, 1)) AS INTEGER) / 8.0::DOUBLE - 1 AS d{k}" for k in DIMS) + " FROM tok)"
+
 
+def word_vectors(spark, d) -> DataFrame:
+    words = worded(spark, d).select(F.explode(F.array_distinct("t")).alias("token")).distinct()
+    return words.select("token", *[(F.conv(F.substring(F.md5("token"), k, 1), 16, 10).cast("double") / 8 - 1).alias(f"d{k}") for k in DIMS])
 
-def _embedding(agg, fn):
-    dims = ", ".join(f"round(coalesce({fn}(d{k}), 0), 6) AS d{k}" for k in range(1, 5))
 
-    @query(f"WITH {TOK}, {EMB_SQL}, m AS (SELECT doc_id, d1, d2, d3, d4 FROM tok JOIN emb ON tok.token = emb.token) SELECT documents.doc_id, {dims} FROM documents LEFT JOIN m ON documents.doc_id = m.doc_id GROUP BY documents.doc_id", f"word_embeddings_{agg}")
+def _embedding(name, agg, fn, **options):
+    dims = ", ".join(f"round(coalesce({fn}(d{k}), 0), 6) AS d{k}" for k in DIMS)
+
+    @query(f"WITH {TOK}, {EMB_SQL}, m AS (SELECT doc_id, emb.* FROM tok JOIN emb ON tok.token = emb.token) SELECT documents.doc_id, {dims} FROM documents LEFT JOIN m ON documents.doc_id = m.doc_id GROUP BY documents.doc_id", name)
     def run(spark, d):
-        emb = spark.createDataFrame(EMB, "token string, d1 double, d2 double, d3 double, d4 double")
-        out = O.Pipeline((O.Tokenize("text"), O.WordEmbeddings("text", embeddings=emb, aggregation=agg))).fit(docs(spark, d)).training
-        return out.select("doc_id", *[F.round(f"wordembed_text_d{k}", 6).alias(f"d{k}") for k in range(1, 5)])
+        step = O.WordEmbeddings("text", embeddings=word_vectors(spark, d), aggregation=agg, **options)
+        out = O.Pipeline((O.Tokenize("text"), step)).fit(docs(spark, d)).training
+        return out.select("doc_id", *[F.round(f"wordembed_text_d{k}", 6).alias(f"d{k}") for k in DIMS])
 
 
 for _agg, _fn in (("sum", "sum"), ("mean", "avg"), ("min", "min"), ("max", "max")):
-    _embedding(_agg, _fn)
+    _embedding(f"word_embeddings_{_agg}", _agg, _fn)
+_embedding("word_embeddings_joined", "mean", "avg", max_bytes=0, key="doc_id")
 
 
 # Cleaning and normalising
@@ -300,8 +418,7 @@ def stem(spark, d):
 
 @query()
 def tokenize_bpe(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return joined(O.Pipeline((O.TokenizeBPE("text", vocabulary_size=200),)).fit(part).training, F.col("text"))
+    return joined(O.Pipeline((O.TokenizeBPE("text"),)).fit(docs(spark, d)).training, F.col("text"))
 
 
 WORDPIECES = ("[UNK]", *"abcdefghijklmnopqrstuvwxyz", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz"), "the", "##ing", "##tion", "##er", "of", "and", ".", ",")
@@ -314,8 +431,7 @@ def tokenize_wordpiece(spark, d):
 
 @query()
 def tokenize_sentencepiece(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return joined(O.Pipeline((O.TokenizeSentencePiece("text", vocabulary_size=60),)).fit(part).training, F.col("text"))
+    return joined(O.Pipeline((O.TokenizeSentencePiece("text"),)).fit(docs(spark, d)).training, F.col("text"))
 
 
 def simple_tagger(text: str) -> tuple[list[str], list[str], list[str]]:
@@ -327,17 +443,25 @@ def simple_tagger(text: str) -> tuple[list[str], list[str], list[str]]:
     return low, lemma, pos
 
 
-@query()
+TAGGED = r"""toks AS (
+  SELECT doc_id, list_transform(s, lambda x: trim(lower(x), '.,!?')) AS low,
+    list_transform(s, lambda x: CASE WHEN regexp_matches(trim(lower(x), '.,!?'), '(ing|ed)$') THEN 'VERB' WHEN regexp_matches(x, '^\p{Lu}') THEN 'NOUN' ELSE 'X' END) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x09-\x0D\x1C-\x20\x{85}\p{Z}]+') AS s FROM documents)
+)"""
+CUT = "CASE WHEN pos[i] <> 'VERB' THEN low[i] WHEN suffix(regexp_replace(low[i], 'ing$', ''), 'ed') THEN regexp_replace(regexp_replace(low[i], 'ing$', ''), 'ed$', '') ELSE regexp_replace(low[i], 'ing$', '') END"
+
+
+@query(f"WITH {TAGGED}, l AS (SELECT doc_id, list_transform(range(1, len(low) + 1), lambda i: {CUT}) AS t FROM toks) SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, '|') AS tokens FROM l")
 def lemma(spark, d):
     return joined(O.Pipeline((O.Tokenize("text", engine="tagger", tagger=simple_tagger), O.Lemma("text"))).fit(docs(spark, d)).training, F.col("text.tokens"))
 
 
-@query()
+@query(f"WITH {TAGGED}, l AS (SELECT doc_id, list_transform(list_filter(range(1, len(low) + 1), lambda i: pos[i] = 'NOUN'), lambda i: low[i]) AS t FROM toks) SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, '|') AS tokens FROM l")
 def pos_filter(spark, d):
     return joined(O.Pipeline((O.Tokenize("text", engine="tagger", tagger=simple_tagger), O.PosFilter("text", keep_tags=("NOUN",)))).fit(docs(spark, d)).training, F.col("text.tokens"))
 
 
 @query()
 def lda(spark, d):
-    out = O.Pipeline((O.Tokenize("text"), O.Stopwords("text"), O.LDA("text", num_topics=4, max_iter=5))).fit(docs(spark, d)).training
+    out = O.Pipeline((O.Tokenize("text"), O.Stopwords("text"), O.LDA("text", num_topics=4))).fit(docs(spark, d)).training
     return out.select("doc_id", *[F.round(f"lda_text_{i}", 4).alias(f"topic_{i}") for i in range(1, 5)])

@@ -1,5 +1,7 @@
+import hashlib
 import io
 import math
+import random
 
 import pytest
 import sentencepiece as sp
@@ -11,6 +13,8 @@ import __spark_entry__
 from quillspark import operators as O
 from quillspark.functions import stem, subword, text
 from quillspark.functions.counts import COUNT_FUNCTIONS
+from quillspark.operators import taggers
+from quillspark.plans import long
 
 SAM = ["I would not eat them here or there.", "I would not eat them anywhere.", "I would not eat green eggs and ham.", "I do not like them, Sam-I-am."]
 WORDS = [s.lower().replace(".", "").replace(",", "").replace("-", " ").split() for s in SAM]
@@ -140,6 +144,158 @@ def test_stems():
     assert stem.russian("коты") == "кот"
 
 
+def test_bpe_is_the_plain_algorithm():
+    """The heap's merges are those of counting all pairs anew at each step."""
+    rng = random.Random(3)
+    for _ in range(20):
+        counts = {"▁" + "".join(rng.choices("abcd", k=rng.randint(1, 8))): rng.randint(1, 6) for _ in range(25)}
+        words, want = {w: list(w) for w in counts}, []
+        while len(want) + len({c for w in counts for c in w}) < 40:
+            pairs: dict = {}
+            for w, s in words.items():
+                for p in zip(s, s[1:], strict=False):
+                    pairs[p] = pairs.get(p, 0) + counts[w]
+            if not pairs:
+                break
+            want.append(min(pairs, key=lambda p: (-pairs[p], p)))
+            words = {w: subword.merge(s, want[-1]) for w, s in words.items()}
+        assert subword.train_bpe(counts, 40) == want
+
+
+INNER = ["_tokens", "_counts", "_values", "_hash", "_codes", "_topics", "_pooled", "_key", "_row", "_0", "_1", "token", "n", "_runs", "_lda_counts"]
+
+
+def test_names_of_users_stay(spark, sam):
+    """Columns that are called like the steps' own stay as they are."""
+    emb = spark.createDataFrame([("eat", 1.0, 2.0), ("not", 3.0, None)], "token string, d1 double, d2 double")
+    wide = sam.select("*", *[F.lit(c).alias(c) for c in INNER])
+    tok = O.Tokenize("text")
+    pipes = [
+        (tok, O.TermFrequency("text")), (tok, O.TermFrequency("text", output="vector")), (tok, O.TfIdf("text")), (tok, O.TextHash("text", num_terms=4)), (tok, O.TextHash("text", num_terms=4, output="map")), (O.DummyHash("text", num_terms=4),),
+        (tok, O.SequenceOneHot("text", sequence_length=3)), (tok, O.WordEmbeddings("text", embeddings=emb)), (tok, O.WordEmbeddings("text", embeddings=emb, max_bytes=0, key="id")), (tok, O.LDA("text", num_topics=2, max_iter=1)),
+    ]
+    for steps in pipes:
+        out = O.Pipeline(steps).fit(wide).training
+        rows = out.select("id", *INNER).collect()
+        assert len(rows) == 4 and all(r[c] == c for r in rows for c in INNER), steps
+
+
+def test_embeddings_after_a_shuffle(spark):
+    """Vectors stay with their rows, on both ways, with rows dealt anew before; long rows are pooled in blocks."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(50)]
+    emb = spark.createDataFrame([(w, float(i), float(i % 7) if i % 5 else None) for i, w in enumerate(vocab)], "token string, d1 double, d2 double")
+    texts = [" ".join(rng.choices([*vocab, "zz"], k=rng.randint(0, 30))) for _ in range(200)] + [" ".join(vocab * 900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(7, F.rand(1))
+    for agg, fn in (("sum", sum), ("mean", lambda x: sum(x) / len(x)), ("min", min), ("max", max)):
+        for more in ({}, {"max_bytes": 0, "key": "id"}):
+            out = {r.id: r[1:] for r in O.Pipeline((O.Tokenize("text"), O.WordEmbeddings("text", embeddings=emb, aggregation=agg, aggregation_default=-1, **more))).fit(df).training.collect()}
+            for i, t in enumerate(texts):
+                at = [int(w[1:]) for w in t.split() if w != "zz"]
+                two = [x % 7 for x in at if x % 5]
+                assert out[i] == pytest.approx((fn(at) if at else -1, fn(two) if two else -1))
+    with pytest.raises(ValueError, match="key"):
+        O.Pipeline((O.Tokenize("text"), O.WordEmbeddings("text", embeddings=emb, max_bytes=0))).fit(df)
+
+
+def test_no_shuffle(spark, sam):
+    """Counting, weighting and hashing within documents needs no exchange."""
+    words = sam.select("id", text.words(F.col("text")).alias("t"))
+    for out in (long.counts(words, "id", F.col("t")), long.term_frequency(words, "id", F.col("t"), "term frequency"), long.hashed(words, "id", F.col("t"), 8, True, "md5")):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.one_of(st.none(), st.sampled_from("abcdé")), max_size=9), min_size=1, max_size=4))
+def test_runs(spark, rows):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, t array<string>").coalesce(1)
+    got = df.select(text.runs(F.col("t")), text.bucket_sums(F.col("t"), 3, True, "md5"), text.dense(text.bucket_sums(F.col("t"), 3, True, "md5"), 3)).collect()
+    for row, (found, sums, dense) in zip(rows, got, strict=True):
+        words = [x for x in row if x is not None]
+        assert {r.token: r.n for r in found} == {w: words.count(w) for w in words}
+        want: dict = {}
+        for w in words:
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:8], 16) % 3] = want.get(int(h[:8], 16) % 3, 0) + (1 if int(h[8:10], 16) % 2 == 0 else -1)
+        assert {r.bucket: r.value for r in sums} == want and dense == [want.get(i, 0) for i in range(3)]
+
+
+def test_save_and_load(spark, sam, tmp_path):
+    emb = spark.createDataFrame([("eat", 1.0, 2.0), ("not", 3.0, None)], "token string, d1 double, d2 double")
+    tok = O.Tokenize("text")
+    pipes = [
+        (tok, O.Stopwords("text"), O.TokenFilter("text", max_tokens=5), O.TfIdf("text")), (tok, O.WordEmbeddings("text", embeddings=emb)), (tok, O.WordEmbeddings("text", embeddings=emb, max_bytes=0, key="id")), (tok, O.LDA("text", num_topics=2, max_iter=1)),
+        (O.TokenizeSentencePiece("text", vocabulary_size=40),), (O.TokenizeBPE("text", vocabulary_size=40), O.TermFrequency("text", weight_scheme="log normalization", output="vector")), (O.CleanLevels("text"),), (O.TextFeature("text", extract_functions={"n": F.length}),),
+    ]
+    for i, steps in enumerate(pipes):
+        fitted = O.Pipeline(steps).fit(sam)
+        fitted.save(spark, f"{tmp_path}/{i}")
+        again = O.FittedPipeline.load(spark, f"{tmp_path}/{i}")
+        assert sorted(map(str, again.transform(sam).collect())) == sorted(map(str, fitted.transform(sam).collect())) and repr(again.steps) == repr(fitted.steps)
+    with pytest.raises(ValueError, match="can't be saved"):
+        O.Pipeline((O.TokenFilter("text", filter_fun=lambda t: F.length(t) > 2),)).fit(sam.select(F.split("text", " ").alias("text"))).save(spark, f"{tmp_path}/no")
+
+
+def test_fit_keeps_rows_once(spark, sam):
+    """Two learning steps: the tokens are kept while the fit lasts, not after it."""
+    steps = (O.Tokenize("text"), O.TokenFilter("text", max_tokens=5), O.TfIdf("text"))
+    kept, plain = O.Pipeline(steps).fit(sam), O.Pipeline(steps).fit(sam, persist=False)
+    assert sorted(kept.training.collect()) == sorted(plain.training.collect())
+    assert not spark.sparkContext._jsc.getPersistentRDDs().size() or not kept.training.storageLevel.useMemory
+
+
+def test_bounds_raise(spark, sam, monkeypatch):
+    """What the driver must gather is counted first; nothing is cut."""
+    from quillspark.operators import base, numeric
+
+    with pytest.raises(ValueError, match="there are over 3"):
+        base.distinct_tokens(sam.select(text.words(F.col("text")).alias("t")), "t", 3)
+    monkeypatch.setattr(numeric, "MAX_COLUMNS", 3)
+    with pytest.raises(ValueError, match="there are over 3"):
+        O.Pipeline((O.Tokenize("text"), O.TfIdf("text"))).fit(sam)
+
+
+def test_large_vocabularies(spark):
+    """Beyond the size of literals, tokens are looked up in Arrow batches: the same results."""
+    vocab = [f"w{i:04d}" for i in range(400)]
+    df = spark.createDataFrame([(["w0003", "zz", None, "w0399"],), ([],), (None,)], "t array<string>").coalesce(1)
+    assert [r[0] for r in df.select(text.codes(F.col("t"), vocab, 4)).collect()] == [[4, 0, 0, 400], [0] * 4, [0] * 4]
+    fitted = O.Pipeline((O.TokenFilter("t", max_tokens=None),)).fit(spark.createDataFrame([(vocab,)], "t array<string>"))
+    assert [r[0] for r in fitted.transform(df).collect()] == [["w0003", "w0399"], [], []]
+
+
+def test_ptb(spark):
+    df = spark.createDataFrame([('"Hello," she said. They\'ll (not) cannot... Isn\'t it?',)], "x string")
+    assert df.select(text.ptb(F.col("x"))).first()[0] == ["``", "Hello", ",", "''", "she", "said.", "They", "'ll", "(", "not", ")", "can", "not", "...", "Is", "n't", "it", "?"]
+    assert df.select(text.ptb(F.col("x"), lowercase=True)).first()[0][1] == "hello"
+
+
+def test_stream(spark, sam, tmp_path):
+    """A fitted pipeline of row expressions is applied to a stream as it is."""
+    emb = spark.createDataFrame([("eat", 1.0)], "token string, d1 double")
+    fitted = O.Pipeline((O.Tokenize("text"), O.Stopwords("text"), O.TokenMerge(["text"], prefix="t", keep_original_cols=True), O.TfIdf("text"), O.WordEmbeddings("t", embeddings=emb))).fit(sam)
+    sam.write.parquet(f"{tmp_path}/in")
+    stream = fitted.transform(spark.readStream.schema(sam.schema).parquet(f"{tmp_path}/in"))
+    stream.writeStream.format("memory").queryName("features").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/ck").start().awaitTermination(60)
+    assert sorted(spark.table("features").collect()) == sorted(fitted.transform(sam).collect())
+
+
+def test_introspection(spark, sam):
+    """Ranges for tuning, guesses of sparsity, token lists, tagger engines that are not there."""
+    tuned = {s.__name__: set(s.tunable) for s in (O.DummyHash, O.NGram, O.TextHash, O.TermFrequency, O.TokenFilter, O.Tokenize, O.TokenizeBPE)}
+    assert tuned == {"DummyHash": {"signed", "num_terms"}, "NGram": {"num_tokens"}, "TextHash": {"signed", "num_terms"}, "TermFrequency": {"weight_scheme", "num_terms"}, "TokenFilter": {"max_times", "min_times", "max_tokens"}, "Tokenize": {"token"}, "TokenizeBPE": {"vocabulary_size"}}
+    assert O.TextHash("text", num_terms=8).sparsity(sam) == {"text": (8, 0.875)} and O.TermFrequency("text").sparsity(sam)["text"][0] == 32
+    df = spark.createDataFrame([(["a", "b"], ["x", "y"], ["N", "V"])], "t array<string>, l array<string>, p array<string>")
+    made = df.select(O.tokenlist(F.col("t"), F.col("l"), F.col("p")).alias("c"))
+    assert O.all_tokenized(made) == ["c"] and O.Pipeline((O.PosFilter("c", keep_tags=("V",)), O.Lemma("c"))).fit(made).training.first()[0].tokens == ["y"]
+    with pytest.raises(Exception, match="one length"):
+        df.select(O.tokenlist(F.col("t"), F.slice("l", 1, 1))).collect()
+    assert taggers.conllu("# x\n1-2\tdu\t_\t_\n1\tde\tde\tADP\n2\tle\tle\tDET\n") == (["de", "le"], ["de", "le"], ["ADP", "DET"])
+    for engine in ("spacy", "udpipe"):
+        with pytest.raises(ImportError, match="not installed"):
+            O.Pipeline((O.Tokenize("text", engine=engine),)).fit(sam)
+
+
 def test_tagged(spark):
     df = spark.createDataFrame([("hello there", 1), ("No", 2), (None, 3)], "text string, id int")
     tag = lambda t: (t.split(), [w.lower() for w in t.split()], ["NOUN" if w[0].isupper() else "INTJ" for w in t.split()])
