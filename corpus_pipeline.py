@@ -1,4 +1,12 @@
-"""Cleans the documents and turns them into token ids, stage by stage."""
+"""Cleans the documents and turns them into token ids, stage by stage.
+
+Every stage takes the rows that the former one kept, whole texts. For all of them:
+a null text is an empty one (and stays null where the text isn't changed); null and
+reused doc_ids are rows like any other; repeated rows are treated alike (of repeated
+rows one stays, as of other copies); extra columns are handed on, whatever their
+names, by all stages but the last, which drops them; an empty table gives an empty
+one; an empty benchmark or no labels reject and change nothing.
+"""
 
 from __future__ import annotations
 
@@ -17,29 +25,30 @@ def _counted(docs: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go. Without labels of both classes none does."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = free("score", docs.columns)
     return toxicity.score(docs, model, name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies stays, the one with the smallest doc_id (any one of a group without ids). Texts
+    without words are copies of each other."""
     return simhash.keep_one(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out of the texts."""
+    """Passages of the benchmark are cut out of the texts; n_chars follows."""
     return _counted(decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs.columns)
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind."""
+    """Personal data and secrets are replaced by the name of their kind; n_chars follows."""
     return _counted(pii.redact(docs), docs.columns)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the ids of every document."""
+    """doc_id and the ids of every document, with their number, how many are bytes, their crc32, and whether they decode to the text."""
     return wfst.encode(docs).select("doc_id", "ids", "n_pieces", "n_bytes", "ids_crc32", "round_trip")
 
 

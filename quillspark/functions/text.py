@@ -148,16 +148,25 @@ def runs(t: Column) -> Column:
     return bind(F.sort_array(F.filter(_empty_if_null(t), lambda x: x.isNotNull())), of)
 
 
+#: A bucket and a sum of signs in one long, so that numbers are sorted and not structs: the sum in the low bits, from MIDDLE up.
+LOW = 40
+MIDDLE = 1 << LOW - 1
+
+
 def bucket_sums(t: Column, num_terms: int, signed: bool, scheme: str) -> Column:
     """The buckets of an array's tokens and the sums of their signs (counts, if not signed), as structs (bucket, value)."""
+    packed = lambda b, v: F.shiftleft(b.cast("long"), LOW) + v + MIDDLE
     if scheme == "md5":  # the digest is computed once for each different token
-        pair = lambda r: bind(F.md5(r.token), lambda h: F.struct(_md5_bucket(h, num_terms).alias("bucket"), (r.n * (_md5_sign(h) if signed else 1)).alias("v")))
+        digits = lambda r: F.conv(F.substring(F.md5(r.token), 1, 10), 16, 10).cast("long")
+        pair = lambda d, r: packed(F.shiftright(d, 8) % num_terms, r.n * (1 - 2 * d.bitwiseAND(F.lit(1)) if signed else 1))
+        pairs = bind(runs(t), lambda found: F.zip_with(F.transform(found, digits), found, pair))
     else:
-        pair = lambda r: F.struct(bucket(r.token, num_terms, scheme).alias("bucket"), (r.n * (sign(r.token, scheme) if signed else 1)).alias("v"))
-    begins = lambda p: F.filter(F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(p, i).bucket != F.get(p, i - 1).bucket))
-    total = lambda p, at, i, k: F.aggregate(F.slice(p, i + 1, F.coalesce(F.get(at, k + 1), F.size(p)) - i), F.lit(0).cast("long"), lambda a, x: a + x.v)
-    of = lambda p: bind(begins(p), lambda at: F.transform(at, lambda i, k: F.struct(F.get(p, i).bucket.alias("bucket"), total(p, at, i, k).alias("value"))))
-    return bind(F.sort_array(F.transform(runs(t), pair)), of)
+        pairs = F.transform(runs(t), lambda r: packed(bucket(r.token, num_terms, scheme), r.n * (sign(r.token, scheme) if signed else 1)))
+    of = lambda x: F.shiftright(x, LOW)
+    begins = lambda p: F.filter(F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (of(F.get(p, i)) != of(F.get(p, i - 1))))
+    total = lambda p, at, i, k: F.aggregate(F.slice(p, i + 1, F.coalesce(F.get(at, k + 1), F.size(p)) - i), F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit((1 << LOW) - 1)) - MIDDLE)
+    summed = lambda p: bind(begins(p), lambda at: F.transform(at, lambda i, k: F.struct(of(F.get(p, i)).cast("int").alias("bucket"), total(p, at, i, k).alias("value"))))
+    return bind(F.sort_array(pairs), summed)
 
 
 def dense(sums: Column, num_terms: int) -> Column:

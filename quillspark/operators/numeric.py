@@ -303,10 +303,12 @@ class WordEmbeddings(Step):
         if not isinstance(fields[0].dataType, T.StringType) or not all(isinstance(f.dataType, T.NumericType) for f in fields[1:]):
             raise TypeError("embeddings must have a string column first and numeric columns after it")
         token, *dims = self.embeddings.columns
-        vectors = self.embeddings.where(col(token).isNotNull()).dropDuplicates([token])
+        vectors = self.embeddings.where(col(token).isNotNull()).dropDuplicates([token]).persist()
         size = vectors.agg(F.count("*"), F.sum(F.octet_length(col(token)))).first()
-        if size[0] * 8 * len(dims) + (size[1] or 0) <= self.max_bytes:
-            table = vectors.toArrow()
+        small = size[0] * 8 * len(dims) + (size[1] or 0) <= self.max_bytes
+        table = vectors.toArrow() if small else None
+        vectors.unpersist()
+        if small:
             columns = [pc.fill_null(c.cast(pa.float64()), float("nan")).to_numpy() for c in table.columns[1:]]
             return {"tokens": table.column(0).to_pylist(), "matrix": np.stack(columns, 1) if columns else np.zeros((table.num_rows, 0)), "dims": dims}, state.without(names)
         if self.key is None:
