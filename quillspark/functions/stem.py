@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from .stem_more import french, german, spanish
+
 VOWELS = "aeiouy"
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 SPECIAL = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
@@ -130,4 +132,7 @@ def russian(word: str) -> str:
     return head + (rv[:-1] if rv.endswith(("нн", "ь")) else rv)
 
 
-STEMMERS = {"english": english, "en": english, "porter": english, "russian": russian, "ru": russian}
+STEMMERS = {
+    "english": english, "en": english, "porter": english, "russian": russian, "ru": russian,
+    "german": german, "de": german, "french": french, "fr": french, "spanish": spanish, "es": spanish,
+}

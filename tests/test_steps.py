@@ -144,6 +144,39 @@ def test_stems():
     assert stem.russian("коты") == "кот"
 
 
+#: Pairs from the samples that are published with the stemmers.
+SAMPLES = {
+    "french": "continu continu continua continu continuait continu continuation continu continué continu continuel continuel continuelle continuel continuellement continuel continuer continu continuera continu continuerait continu continuité continu "
+    "continuons continuon contorsions contors contournant contourn contre contr main main mains main maintenaient mainten maintenant mainten maintenir mainten maintenue maintenu maire mair mairie mair mais mais maison maison maisons maison "
+    "maître maîtr maîtresse maîtress majesté majest majestueuse majestu majestueusement majestu majestueux majestu majeure majeur majordome majordom majorité major majorités major malade malad maladie malad maladive malad",
+    "spanish": "cheque chequ cheques chequ cheraw cheraw chester chest chetumaleños chetumaleñ chía chi chiapas chiap chica chic chicago chicag chicas chic chicharrones chicharron chichen chich chicles chicl torá tor tórax torax torcer torc "
+    "toreado tor toreándolo tor torear tor toreara tor torearlo tor toreó tore torero torer tormenta torment tornado torn tornen torn torneo torne torneos torne tornillo tornill torniquete torniquet torpedearon torped torpeza torpez torre torr "
+    "torrenciales torrencial",
+    "german": "aufeinander aufeinand aufeinanderbiss aufeinanderbiss aufeinanderfolge aufeinanderfolg aufeinanderfolgende aufeinanderfolg aufeinanderfolgt aufeinanderfolgt aufeinanderschlügen aufeinanderschlug aufenthaltes aufenthalt auferlegten auferlegt "
+    "auferstehen aufersteh auferstehung aufersteh auferstünde auferstund aufessen aufess auffallend auffall kategorie kategori kategorien kategori kategorisch kategor kategorischer kategor kater kat katerliede katerlied katze katz käuer kau käufer kauf "
+    "kaufleute kaufleut käuflich kauflich",
+}
+
+
+@pytest.mark.parametrize("language", sorted(SAMPLES))
+def test_more_stems(language):
+    words = SAMPLES[language].split()
+    got = [(w, stem.STEMMERS[language](w)) for w in words[::2]]
+    assert got == list(zip(words[::2], words[1::2], strict=True))
+    assert all(isinstance(stem.STEMMERS[language](w), str) for w in ("", "a", "y", "qu", "gué", "日本", "s", "ß", "ment", "ement"))
+
+
+def test_stop_lists(sam):
+    """Four languages; forms made of stems and endings are there once."""
+    from quillspark.functions.stopwords import SOURCES, stopwords
+
+    for language, some in (("de", "keinem unser manche dein derselbe"), ("fr", "serions avaient eussent étées été"), ("es", "estuviéramos tendríais fueseis nuestra habidas")):
+        words = stopwords(language)
+        assert set(some.split()) <= set(words) and len(words) == len(set(words)) > 150
+    assert all(w == w.lower() and w for words in SOURCES.values() for w in words)
+    assert tokens(O.Pipeline((O.Tokenize("text"), O.Stopwords("text", language="de"))).fit(sam).training) == [[w for w in x if w not in stopwords("de")] for x in WORDS]
+
+
 def test_bpe_is_the_plain_algorithm():
     """The heap's merges are those of counting all pairs anew at each step."""
     rng = random.Random(3)
