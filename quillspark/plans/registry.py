@@ -357,13 +357,13 @@ def tokenmerge(spark, d):
 
 
 @query(
-    f"WITH {TOKS}, v AS (SELECT list_sort(list_distinct(flatten(list(t)))) AS v FROM toks WHERE doc_id % 50 = 0), "
+    f"WITH {TOKS}, v AS (SELECT list_sort(list_distinct(flatten(list(regexp_extract_all(lower(text), '{W}'))))) AS v FROM benchmark), "
     "c AS (SELECT doc_id, list_transform(t[1:12], lambda x: coalesce(list_position(v, x), 0)) AS c FROM toks, v) SELECT doc_id, array_to_string(list_concat(c, list_transform(range(0, 12 - len(c)), lambda x: 0)), ',') AS codes FROM c"
 )
 def sequence_codes_learnt(spark, d):
-    """The codes of a vocabulary that is learnt from other rows than those it is applied to."""
+    """The codes of a vocabulary that is learnt from one table, the benchmark, and applied to another."""
     step = O.SequenceOneHot("text", sequence_length=12, padding="post", truncating="post")
-    made = O.Pipeline((O.Tokenize("text"), step)).fit(docs(spark, d).where("doc_id % 50 = 0")).transform(docs(spark, d))
+    made = O.Pipeline((O.Tokenize("text"), step)).fit(spark.read.parquet(f"{d}/benchmark.parquet").select("text")).transform(docs(spark, d))
     return made.select("doc_id", F.array_join(F.array(*[F.col(f"seq1hot_text_{i + 1}").cast("string") for i in range(12)]), ",").alias("codes"))
 
 
