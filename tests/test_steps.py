@@ -3,6 +3,7 @@ import io
 import math
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece as sp
 from hypothesis import HealthCheck, given, settings
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quillspark import operators as O
-from quillspark.functions import stem, subword, text
+from quillspark.functions import arrow, stem, subword, text
 from quillspark.functions.counts import COUNT_FUNCTIONS
 from quillspark.operators import taggers
 from quillspark.plans import long
@@ -371,3 +372,17 @@ def test_empty_selection_changes_nothing(sam):
 
 def test_entry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_wordpiece_in_bounded_parts(spark):
+    """A batch of large texts is given back in parts, with the pieces of the whole."""
+    vocab = ("[UNK]", "the", "##ing", *"abcdefghijklmnopqrstuvwxyz", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz"), ".")
+    texts = [None, "", " ", "Thé sing-ing.", "x" * 101 + " the 日本", *(f"the walking {chr(97 + i % 26)} été. " * (20_000 if i == 7 else 4000) for i in range(40)), "thething"]
+    want = [subword.wordpiece(t, frozenset(vocab)) for t in texts]
+    assert want[3] == ["the", "s", "##ing", "[UNK]", "i", "##n", "##g", "."] and want[4] == ["[UNK]", "the", "[UNK]"]
+    split = lambda t: subword.wordpiece_text(t, cased=False)
+    made = list(arrow.word_pieces(iter([pa.array(texts, pa.string())]), split, lambda w: subword.wordpiece_word(w, frozenset(vocab), 5, "[UNK]", 100)))
+    assert len(made) >= 4 and [x for a in made for x in a.to_pylist()] == want
+    assert max(len(a.flatten()) for a in made) <= arrow.TEXT_BYTES
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    assert tokens(O.Pipeline((O.TokenizeWordPiece("text", vocab=vocab),)).fit(df).training) == want
