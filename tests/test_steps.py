@@ -386,3 +386,24 @@ def test_wordpiece_in_bounded_parts(spark):
     assert max(len(a.flatten()) for a in made) <= arrow.TEXT_BYTES
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
     assert tokens(O.Pipeline((O.TokenizeWordPiece("text", vocab=vocab),)).fit(df).training) == want
+
+
+def test_bpe_of_more_words_than_the_driver_holds(spark, monkeypatch):
+    """Words that stay on the executors give the merges of one process; no number of words is too large."""
+    from quillspark.operators import tokens as module
+
+    rng = random.Random(8)
+    texts = [None, "", *(" ".join("".join(rng.choices("aabcé", k=rng.randint(1, 9))) for _ in range(30)) for _ in range(20))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    counts: dict = {}
+    for w in " ".join(filter(None, texts)).split():
+        counts["▁" + w] = counts.get("▁" + w, 0) + 1
+    merges = subword.train_bpe(counts, 60)
+    monkeypatch.setattr(module, "MAX_VOCABULARY", 10)
+    monkeypatch.setattr(module, "LOCAL_CHARS", 0, raising=False)
+    fitted = O.Pipeline((O.TokenizeBPE("text", vocabulary_size=60),)).fit(df)
+    assert len(merges) > 50 and [tuple(m) for m in fitted.steps[0].learnt["merges"]["text"]] == merges
+    rank = {m: i for i, m in enumerate(merges)}
+    assert tokens(fitted.training) == [[p for w in (t or "").split() for p in subword.bpe_word(w, rank)] for t in texts]
+    with pytest.raises(ValueError, match="5 characters"):
+        O.Pipeline((O.TokenizeBPE("text", vocabulary_size=4),)).fit(df)
