@@ -381,7 +381,7 @@ def test_wordpiece_in_bounded_parts(spark):
     want = [subword.wordpiece(t, frozenset(vocab)) for t in texts]
     assert want[3] == ["the", "s", "##ing", "[UNK]", "i", "##n", "##g", "."] and want[4] == ["[UNK]", "the", "[UNK]"]
     split = lambda t: subword.wordpiece_text(t, cased=False)
-    made = list(arrow.word_pieces(iter([pa.array(texts, pa.string())]), split, lambda w: subword.wordpiece_word(w, frozenset(vocab), 5, "[UNK]", 100)))
+    made = list(arrow.word_pieces(iter([pa.array(texts, pa.string())]), split, lambda x: [subword.wordpiece_word(w, frozenset(vocab), 5, "[UNK]", 100) for w in x]))
     assert len(made) >= 4 and [x for a in made for x in a.to_pylist()] == want
     assert max(len(a.flatten()) for a in made) <= arrow.TEXT_BYTES
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
@@ -407,3 +407,27 @@ def test_bpe_of_more_words_than_the_driver_holds(spark, monkeypatch):
     assert tokens(fitted.training) == [[p for w in (t or "").split() for p in subword.bpe_word(w, rank)] for t in texts]
     with pytest.raises(ValueError, match="5 characters"):
         O.Pipeline((O.TokenizeBPE("text", vocabulary_size=4),)).fit(df)
+
+
+def test_bpe_words_together():
+    """Many words at once have the pieces of each by itself, where a symbol is made in two ways too."""
+    rng = random.Random(4)
+    for k in range(40):
+        parts = [*"abcd", "ab", "bc", "cd", "abc", "bcd"]
+        pairs = {(a, b) for a in parts for b in parts if len(a + b) < 6}
+        rank = {p: i for i, p in enumerate(rng.sample(sorted(pairs), rng.randint(1, 40)))}
+        words = ["".join(rng.choices("abcdé", k=rng.randint(1, 12))) for _ in range(200)]
+        assert subword.bpe_words(words, rank, subword.bpe_plan(rank)) == [subword.bpe_word(w, rank) for w in words]
+
+
+def test_sentencepiece_of_more_words_than_the_driver_holds(spark, monkeypatch):
+    from quillspark.operators import tokens as module
+
+    rng = random.Random(8)
+    texts = [None, *(" ".join("".join(rng.choices("aabcé", k=rng.randint(1, 9))) for _ in range(30)) for _ in range(20))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    step = O.TokenizeSentencePiece("text", vocabulary_size=40)
+    want = tokens(O.Pipeline((step,)).fit(df).training)
+    monkeypatch.setattr(module, "MAX_VOCABULARY", 10)
+    monkeypatch.setattr(module, "LOCAL_CHARS", 0)
+    assert tokens(O.Pipeline((step,)).fit(df).training) == want and any(want)
